@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.plain import not_plain, plain_spelling
+from lexforge.llm.sentences import sentences
 from lexforge.llm.terms import distinctive_terms, term_frequency
 from lexforge.sources.tables import table
 
@@ -30,6 +31,10 @@ def p2_plain(spark: SparkSession, base: str) -> DataFrame:
     return plain_spelling(table(spark, base, "rashi", "rec_id", "dh", "t", "vt"), "rec_id", ["dh", "t", "vt"]).select("rec_id", "field", "plain", "changed")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences(table(spark, base, "rashi", "rec_id", "t"), "rec_id", "t")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return term_frequency(table(spark, base, "rashi", "dh", "t"), ["dh", "t"]).where("mark is not null").select("field", "term", "mark")
 
