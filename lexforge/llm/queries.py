@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm.levels import labelled_sample, level_check, reading_levels, train_levels
+from lexforge.llm.packing import byte_tokens, containers_of, fill_containers, fill_report
 from lexforge.llm.plain import not_plain, plain_spelling
+from lexforge.llm.sampling import balanced_sample, targets_of
 from lexforge.llm.sentences import sentences
 from lexforge.llm.terms import distinctive_terms, term_frequency
 from lexforge.sources.tables import table
@@ -35,6 +38,26 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences(table(spark, base, "rashi", "rec_id", "t"), "rec_id", "t")
 
 
+QUERY_BOUNDS = (("dhwords_lo", "dhwords_hi"), ("lk_lo", "lk_hi"))
+
+
+def _sampled(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    targets = targets_of(table(spark, base, "sample_targets"), QUERY_BOUNDS)
+    return balanced_sample(table(spark, base, "queries_partial", "id", "dhWords", "lk"), "id", ("dhWords", "lk"), targets, QUERY_BOUNDS)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return _sampled(spark, base)[1].where("short").select(F.col("plan_id").cast("int").alias("plan_id"), F.col("stratum_id").cast("int").alias("stratum_id"))
+
+
+def p5_sample(spark: SparkSession, base: str) -> DataFrame:
+    return _sampled(spark, base)[0]
+
+
+def p5_report(spark: SparkSession, base: str) -> DataFrame:
+    return _sampled(spark, base)[1]
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return term_frequency(table(spark, base, "rashi", "dh", "t"), ["dh", "t"]).where("mark is not null").select("field", "term", "mark")
 
@@ -43,5 +66,40 @@ def p6_terms(spark: SparkSession, base: str) -> DataFrame:
     return term_frequency(table(spark, base, "rashi", "dh", "t"), ["dh", "t"])
 
 
+def _packed(spark: SparkSession, base: str) -> DataFrame:
+    capacities = containers_of(table(spark, base, "containers"))
+    return fill_containers(table(spark, base, "documents", "doc_id", "text"), "doc_id", byte_tokens("text"), capacities)
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _packed(spark, base).where("n_parts > 1 and part_no = 1").select("capacity_id", "doc_id")
+
+
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    return _packed(spark, base)
+
+
+def p7_report(spark: SparkSession, base: str) -> DataFrame:
+    return fill_report(_packed(spark, base))
+
+
+def _level_model(spark: SparkSession, base: str):
+    return train_levels(labelled_sample(table(spark, base, "level_refs"), "lang", "read_level", "text"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    checked = level_check(table(spark, base, "documents", "doc_id", "text", "level_tag").where("level_tag is not null"), "doc_id", "text", "level_tag", _level_model(spark, base))
+    return checked.where("abs(declared - level) >= 3").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, base: str) -> DataFrame:
+    return reading_levels(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", _level_model(spark, base)).select("doc_id", "level", "lang", F.round("posterior", 6).alias("posterior"), "n_unigrams")
+
+
+def p9_profile(spark: SparkSession, base: str) -> DataFrame:
+    levels = reading_levels(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", _level_model(spark, base))
+    return levels.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_unigrams").alias("n_unigrams"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
