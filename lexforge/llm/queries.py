@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.levels import labelled_sample, level_check, reading_levels, train_levels
+from lexforge.llm.mixing import mix_targets_of, mixture
 from lexforge.llm.packing import byte_tokens, containers_of, fill_containers, fill_report
 from lexforge.llm.plain import not_plain, plain_spelling
 from lexforge.llm.sampling import balanced_sample, targets_of
@@ -83,6 +84,22 @@ def p7_report(spark: SparkSession, base: str) -> DataFrame:
     return fill_report(_packed(spark, base))
 
 
+def _mixed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, base, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", mix_targets_of(table(spark, base, "mix_targets")))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _mixed(spark, base)[1].where("short").select("mix_id", "source")
+
+
+def p8_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return _mixed(spark, base)[0]
+
+
+def p8_report(spark: SparkSession, base: str) -> DataFrame:
+    return _mixed(spark, base)[1]
+
+
 def _level_model(spark: SparkSession, base: str):
     return train_levels(labelled_sample(table(spark, base, "level_refs"), "lang", "read_level", "text"))
 
