@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexforge.operators import nested
+from lexforge.functions import numerals as N
+from lexforge.functions import text as X
+from lexforge.operators import evaluate, index, ingest, nested, resolve, sample, search
 from lexforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +28,9 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+# ---- nested responses (problem 4; PRJ1, SRC1-SRC6, JSN1) ----
+
+
 @query()
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return nested.spoken(table(spark, base, "raw_text", "raw_id", "text"), "raw_id", "text")
@@ -40,3 +46,550 @@ def _response_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name in nested.RESPONSE.tables():
     _response_table(_name)
+
+
+# ---- text functions (STR1-STR16, PRJ7-PRJ10) ----
+
+
+@query(f"SELECT rec_id, {X.normalize_sql('dh')} AS dh, {X.normalize_sql('t')} AS t, {X.normalize_sql('vt')} AS vt FROM rashi")
+def normalize_text(spark: SparkSession, base: str) -> DataFrame:
+    """STR4, PRJ7."""
+    return table(spark, base, "rashi", "rec_id", "dh", "t", "vt").select("rec_id", *[X.normalize(F.col(c)).alias(c) for c in ("dh", "t", "vt")])
+
+
+@query(f"SELECT rec_id, {X.skel_sql(X.normalize_sql('dh'))} AS dh_s FROM rashi")
+def skeleton_fold(spark: SparkSession, base: str) -> DataFrame:
+    """STR5."""
+    return table(spark, base, "rashi", "rec_id", "dh").select("rec_id", X.skel(X.normalize(F.col("dh"))).alias("dh_s"))
+
+
+@query(f"SELECT doc_id, {X.clean_sql('text')} AS cleaned FROM documents")
+def clean_html(spark: SparkSession, base: str) -> DataFrame:
+    """STR1."""
+    return table(spark, base, "documents", "doc_id", "text").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {X.clean_sql('text', True)} AS cleaned FROM documents")
+def clean_footnotes(spark: SparkSession, base: str) -> DataFrame:
+    """STR2."""
+    return table(spark, base, "documents", "doc_id", "text").select("doc_id", X.clean(F.col("text"), footnotes=True).alias("cleaned"))
+
+
+@query(f"SELECT rec_id, len({X.words_sql('t')}) AS n_words, {X.bare_sql('dh')} AS bare FROM rashi")
+def lemma_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """STR13, STR14."""
+    return table(spark, base, "rashi", "rec_id", "dh", "t").select("rec_id", F.size(X.words(F.col("t"))).cast("bigint").alias("n_words"), X.bare(F.col("dh")).alias("bare"))
+
+
+@query(f"SELECT id, query, loaded_at, {X.clean_variant_sql('query')} AS clean, {X.sloppy_variant_sql(X.clean_variant_sql('query'))} AS sloppy FROM queries_partial")
+def sloppy_fold(spark: SparkSession, base: str) -> DataFrame:
+    """STR11, STR12, STR15."""
+    clean = X.clean_variant(F.col("query"))
+    return table(spark, base, "queries_partial", "id", "query", "loaded_at").select("id", "query", "loaded_at", clean.alias("clean"), X.sloppy_variant(clean).alias("sloppy"))
+
+
+@query("SELECT DISTINCT b, replace(b, ' ', '_') AS file, replace(b, ' ', '%20') AS quoted FROM rashi")
+def safe_names(spark: SparkSession, base: str) -> DataFrame:
+    """STR16."""
+    return table(spark, base, "rashi", "b").distinct().select("b", X.safe_filename(F.col("b")).alias("file"), X.url_quote(F.col("b")).alias("quoted"))
+
+
+@query("""SELECT rec_id, left(t, 220) AS snippet, array_to_string(w[1:40], ' ') || CASE WHEN len(w) > 40 THEN '…' ELSE '' END AS opening, array_to_string(d[1:2], ' ') AS two
+FROM (SELECT rec_id, t, """ + X.words_sql("t") + " AS w, " + X.words_sql("dh") + " AS d FROM rashi)")
+def snippets(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ9, PRJ10."""
+    df = table(spark, base, "rashi", "rec_id", "dh", "t")
+    return df.select("rec_id", X.snippet(F.col("t")).alias("snippet"), X.first_words(F.col("t"), 40, "…").alias("opening"), X.first_words(F.col("dh"), 2).alias("two"))
+
+
+@query("SELECT rec_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, " + X.word_match_sql(X.normalize_sql("t"), X.normalize_sql("dh")) + " AS place FROM rashi")
+def word_prefix_places(spark: SparkSession, base: str) -> DataFrame:
+    """STR10, FLT8."""
+    df = table(spark, base, "rashi", "rec_id", "dh", "t")
+    return df.select("rec_id", X.escape_html(F.col("t")).alias("escaped"), X.word_match(X.normalize(F.col("t")), X.normalize(F.col("dh"))).cast("bigint").alias("place"))
+
+
+@query()
+def highlight_marks(spark: SparkSession, base: str) -> DataFrame:
+    """STR6, STR9: the top of a search with its lemma marked."""
+    top = search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="את"))
+    return top.select("rec_id", "score", X.highlight(F.col("t"), ["את"]).alias("marked"))
+
+
+# ---- numerals, references, boosts (STR7-STR8, PRJ2, PRJ8, NUM1-NUM3, RES5) ----
+
+
+@query(f"SELECT o_orderkey, n, {N.format_numeral_sql('n')} AS numeral FROM (SELECT o_orderkey, CAST(o_orderkey % 999 + 1 AS INT) AS n FROM orders)")
+def hebrew_numeral_format(spark: SparkSession, base: str) -> DataFrame:
+    """STR8."""
+    df = table(spark, base, "orders", "o_orderkey").withColumn("n", (F.col("o_orderkey") % 999 + 1).cast("int"))
+    return df.select("o_orderkey", "n", N.format_numeral(F.col("n")).alias("numeral"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN length({N.format_numeral_sql('n')}) <= 3 THEN n END AS parsed FROM (SELECT o_orderkey, CAST(o_orderkey % 999 + 1 AS INT) AS n FROM orders)")
+def hebrew_numeral_parse(spark: SparkSession, base: str) -> DataFrame:
+    """STR7: the round trip, null where the numeral has over three letters; the two that stand for 15 and 16 read back too."""
+    df = table(spark, base, "orders", "o_orderkey").withColumn("n", (F.col("o_orderkey") % 999 + 1).cast("int"))
+    return df.select("o_orderkey", N.parse_numeral(N.format_numeral(F.col("n"))).alias("parsed"))
+
+
+@query("SELECT fol_id, x, CAST(x // 2 + 1 AS INT) AS leaf, CAST(x % 2 + 1 AS INT) AS side FROM (SELECT fol_id, CAST((d - 1) * 2 + a - 1 AS INT) AS x FROM folio)")
+def folio_address(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ2, PRJ3."""
+    df = table(spark, base, "folio", "fol_id", "d", "a").select("fol_id", ((F.col("d") - 1) * 2 + F.col("a") - 1).cast("int").alias("x"))
+    leaf, side = N.folio_of(F.col("x"))
+    return df.select("fol_id", "x", leaf.alias("leaf"), side.alias("side"))
+
+
+@query(f"""SELECT rec_id, bh || ' ' || {N.format_numeral_sql('c')} || ':' || {N.format_numeral_sql('v')} AS he_ref, b || ' ' || c || ':' || v || '#' || i AS ref,
+'Rashi_on_' || b || '.' || c || '.' || v || '.' || i AS path FROM rashi""")
+def formatted_refs(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ8."""
+    df = table(spark, base, "rashi", "rec_id", "b", "bh", "c", "v", "i")
+    at = [F.col(x) for x in "bcvi"]
+    return df.select("rec_id", N.hebrew_ref(F.col("bh"), F.col("c"), F.col("v")).alias("he_ref"), N.record_ref(*at).alias("ref"), F.concat(F.lit("Rashi_on_"), F.concat_ws(".", *at)).alias("path"))
+
+
+@query(f"""SELECT rec_id, round({N.pop_boost_sql('lk')}, 6) AS pop, CAST(CASE WHEN p = (SELECT min(p) FROM sections) THEN 8 WHEN p = (SELECT max(p) FROM sections) THEN 4 ELSE 0 END AS INT) AS week,
+CASE WHEN n <= 2 THEN '1-2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS bucket FROM (SELECT rec_id, lk, p, len({X.words_sql('dh')}) AS n FROM rashi)""")
+def boosts(spark: SparkSession, base: str) -> DataFrame:
+    """NUM1, NUM2, NUM3, JN11."""
+    first, last = table(spark, base, "sections", "p").agg(F.min("p"), F.max("p")).first()
+    df = table(spark, base, "rashi", "rec_id", "p", "dh", "lk")
+    return df.select("rec_id", F.round(N.pop_boost(F.col("lk")), 6).alias("pop"), N.week_boost(F.col("p"), [first], [last]).alias("week"), N.word_bucket(F.size(X.words(F.col("dh")))).alias("bucket"))
+
+
+@query("SELECT fol_id, CAST(CASE WHEN d = 3 THEN 8 WHEN abs(d - 3) = 1 THEN 4 ELSE 0 END AS INT) AS boost FROM folio")
+def leaf_of_day(spark: SparkSession, base: str) -> DataFrame:
+    """RES5."""
+    return table(spark, base, "folio", "fol_id", "d").select("fol_id", N.leaf_boost(F.col("d"), 3).alias("boost"))
+
+
+# ---- ingest (PRJ1, PRJ4-PRJ6, JN1-JN4, AGG1-AGG3, SET1-SET2, SNK2-SNK3, FLT1-FLT2) ----
+
+
+@query(r"""SELECT doc_id, CAST(p AS INT) AS par, CAST(s AS INT) AS line, value FROM (
+  SELECT doc_id, p, unnest(ls) AS value, generate_subscripts(ls, 1) AS s FROM (
+    SELECT doc_id, generate_subscripts(ps, 1) AS p, string_split(unnest(ps), chr(10)) AS ls FROM (
+      SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents))) WHERE value <> ''""")
+def unnest_ordinals(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ1, FLT1: paragraphs and lines of documents, empty ones counted and left out."""
+    split = F.transform(F.split("text", "\n\n"), lambda p: F.split(p, "\n"))
+    return ingest.unnest(table(spark, base, "documents", "doc_id", "text").select("doc_id", split.alias("n")), "n", ("par", "line"), "value", ("doc_id",))
+
+
+BOLD = r"'^\s*<b>(.*?)</b>'"
+
+
+@query(f"""SELECT doc_id, trim({X.clean_sql(f"regexp_extract(text, {BOLD}, 1)")}, ' .:־') AS dh, {X.clean_sql(f"regexp_replace(text, {BOLD}, '')")} AS t FROM documents""")
+def bold_lemma_split(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ4, STR3."""
+    dh, t = ingest.bold_lemma(F.col("text"))
+    return table(spark, base, "documents", "doc_id", "text").select("doc_id", dh.alias("dh"), t.alias("t"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN k > 0 THEN trim(substr(x, 1, k - 1), ' .:־') ELSE '' END AS dh,
+CASE WHEN k > 0 THEN {X.clean_sql("substr(x, k + 3)")} ELSE x END AS t FROM (
+  SELECT doc_id, x, coalesce(nullif(length(regexp_extract(x, '^((?s).*?)\s[–-]\s', 1)), 0), CASE WHEN regexp_matches(x, '^\s[–-]\s') THEN 0 ELSE -1 END) + 1 AS k FROM (
+    SELECT doc_id, {X.clean_sql('text')} AS x FROM documents))""")
+def dash_lemma_split(spark: SparkSession, base: str) -> DataFrame:
+    """PRJ5."""
+    dh, t = ingest.dash_lemma(F.col("text"))
+    return table(spark, base, "documents", "doc_id", "text").select("doc_id", dh.alias("dh"), t.alias("t"))
+
+
+@query("""SELECT rec_id, p, ph FROM (
+  SELECT r.rec_id, coalesce(s.p, l.p) AS p, coalesce(s.ph, l.ph) AS ph, row_number() OVER (PARTITION BY r.rec_id ORDER BY s.ord_no) AS rn
+  FROM rashi r
+  LEFT JOIN sections s ON s.b = r.b AND (r.c > s.start_c OR r.c = s.start_c AND r.v >= s.start_v) AND (r.c < s.end_c OR r.c = s.end_c AND r.v <= s.end_v)
+  LEFT JOIN (SELECT b, arg_max(p, ord_no) AS p, arg_max(ph, ord_no) AS ph FROM sections GROUP BY b) l ON l.b = r.b) WHERE rn = 1""")
+def section_range_join(spark: SparkSession, base: str) -> DataFrame:
+    """JN1."""
+    return ingest.section_join(table(spark, base, "rashi", "rec_id", "b", "c", "v", "p", "ph"), table(spark, base, "sections")).select("rec_id", "p", "ph")
+
+
+@query(r"""SELECT b, ord_no, CAST(regexp_extract(whole_ref, p, 1) AS INT) AS start_c, CAST(regexp_extract(whole_ref, p, 2) AS INT) AS start_v,
+CAST(coalesce(nullif(regexp_extract(whole_ref, p, 3), ''), regexp_extract(whole_ref, p, 1)) AS INT) AS end_c, CAST(regexp_extract(whole_ref, p, 4) AS INT) AS end_v
+FROM (SELECT *, '(\d+):(\d+)-(?:(\d+):)?(\d+)$' AS p FROM sections)""".replace("whole_ref, p,", r"whole_ref, '(\d+):(\d+)-(?:(\d+):)?(\d+)$',"))
+def section_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """SRC5."""
+    names = ("start_c", "start_v", "end_c", "end_v")
+    return table(spark, base, "sections", "b", "ord_no", "whole_ref").select("b", "ord_no", *[x.alias(n) for x, n in zip(ingest.section_bounds(F.col("whole_ref")), names)])
+
+
+LINKED = r"""SELECT regexp_extract(anchor_ref, '^Rashi on (.+?) (\d+):(\d+):(\d+)', 1) AS b, CAST(regexp_extract(anchor_ref, '^Rashi on (.+?) (\d+):(\d+):(\d+)', 2) AS INT) AS c,
+CAST(regexp_extract(anchor_ref, '^Rashi on (.+?) (\d+):(\d+):(\d+)', 3) AS INT) AS v, CAST(regexp_extract(anchor_ref, '^Rashi on (.+?) (\d+):(\d+):(\d+)', 4) AS INT) AS i, count(*) AS n
+FROM links WHERE regexp_matches(anchor_ref, '^Rashi on (.+?) (\d+):(\d+):(\d+)') GROUP BY ALL"""
+
+
+@query(LINKED)
+def link_counts(spark: SparkSession, base: str) -> DataFrame:
+    """AGG1, SRC6."""
+    return ingest.link_counts(table(spark, base, "links", "anchor_ref"))
+
+
+@query(f"SELECT r.rec_id, coalesce(k.n, 0) AS n FROM rashi r LEFT JOIN ({LINKED}) k ON r.b = k.b AND r.c = k.c AND r.v = k.v AND r.i = k.i")
+def link_popularity(spark: SparkSession, base: str) -> DataFrame:
+    """JN2."""
+    return ingest.with_links(table(spark, base, "rashi", "rec_id", "b", "c", "v", "i"), ingest.link_counts(table(spark, base, "links", "anchor_ref"))).select("rec_id", "n")
+
+
+LATEST = "SELECT b, c, v, i, arg_max(rec_id, (loaded_at, rec_id)) AS rec_id FROM rashi GROUP BY b, c, v, i"
+
+
+@query(LATEST)
+def latest_records(spark: SparkSession, base: str) -> DataFrame:
+    """SET4, WIN6 by aggregation: one row a natural key, the last loaded."""
+    df = table(spark, base, "rashi", "rec_id", "b", "c", "v", "i", "loaded_at")
+    return ingest.latest(df, ["b", "c", "v", "i"], [F.col("loaded_at"), F.col("rec_id")]).select("b", "c", "v", "i", "rec_id")
+
+
+@query("""SELECT f.fol_id, coalesce(w.vt, '') AS vt FROM folio f LEFT JOIN
+(SELECT b, c, v, max(vt) AS vt FROM rashi GROUP BY b, c, v) w ON f.b = w.b AND f.d = w.c AND f.l = w.v""")
+def verse_left_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """JN3: folio places looked up in the verse texts."""
+    verses = table(spark, base, "rashi", "b", "c", "v", "vt").groupBy("b", F.col("c").alias("d"), F.col("v").alias("l")).agg(F.max("vt").alias("vt"))
+    return ingest.with_verse(table(spark, base, "folio", "fol_id", "b", "d", "l"), verses, ["b", "d", "l"]).select("fol_id", "vt")
+
+
+@query("""SELECT b, d, a, l, i, dh, t, CAST(NULL AS INT) AS cx FROM folio WHERE cx IS NULL AND t <> ''
+UNION ALL SELECT b, d, a, l, i, dh, t, 1 AS cx FROM folio WHERE cx = 1 AND t <> ''""")
+def continuation_union(spark: SparkSession, base: str) -> DataFrame:
+    """SET1, SET2, PRJ6, FLT2, SRT2."""
+    df = table(spark, base, "folio", "b", "d", "a", "l", "i", "dh", "t", "cx").where("t <> ''")
+    return ingest.with_continuation(df.where("cx is null").drop("cx"), df.where("cx = 1").drop("cx")).orderBy("b", "d", "a", "l", "i", F.asc_nulls_first("cx"))
+
+
+@query("SELECT b, count(*) AS n_records, CAST(grouping(b) AS TINYINT) AS is_total, CASE WHEN grouping(b) = 0 THEN replace(b, ' ', '_') || '.json' END AS file FROM rashi GROUP BY ROLLUP (b)")
+def shard_manifest(spark: SparkSession, base: str) -> DataFrame:
+    """AGG2, SNK2, SNK3, JN4."""
+    return ingest.manifest(table(spark, base, "rashi", "b")).select("b", "n_records", "is_total", "file")
+
+
+@query("SELECT b, min(rec_id) AS first_at, arg_min(bh, rec_id) AS bh FROM rashi GROUP BY b")
+def first_seen_dims(spark: SparkSession, base: str) -> DataFrame:
+    """AGG3, UI1's dimension."""
+    return ingest.first_seen(table(spark, base, "rashi", "b", "bh", "rec_id"), "b", "rec_id", "bh")
+
+
+@query("SELECT s.b, p, ph FROM sections s WHERE s.b = (SELECT min(b) FROM sections)")
+def cascading_sections(spark: SparkSession, base: str) -> DataFrame:
+    """UI1."""
+    df = table(spark, base, "sections", "b", "p", "ph")
+    return search.cascade(df, df.agg(F.min("b")).first()[0])
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) + 7 AS next_week, year(ts) AS y, month(ts) AS m, day(ts) AS d FROM events")
+def event_fields(spark: SparkSession, base: str) -> DataFrame:
+    """JSN1, DAT1."""
+    df = table(spark, base, "events", "event_id", "event_type", "props", "ts")
+    day = F.to_date("ts")
+    k = F.from_json("props", "k bigint")["k"]
+    return df.select("event_id", "event_type", k.alias("k"), F.date_add(day, 7).alias("next_week"), F.year("ts").cast("bigint").alias("y"), F.month("ts").cast("bigint").alias("m"), F.day("ts").cast("bigint").alias("d"))
+
+
+# ---- search (FLT3-FLT9, SCR1-SCR2, SRT1, JN5) ----
+
+
+def _sk(e: str) -> str:
+    return X.skel_sql(e)
+
+
+def ladder_sql(lemma: str, where: str, limit: str = "") -> str:
+    """The ladder for one- and many-token lemmas as SQL."""
+    dh, t = X.normalize_sql("dh"), X.normalize_sql("t")
+    bare = search.plain_skel(lemma)
+    parts, hit = [], []
+    for tok in lemma.split(" "):
+        a = f"strpos(' ' || n, ' ' || '{tok}') > 0"
+        b = f"strpos(' ' || s, ' ' || '{search.plain_skel(tok)}') > 0" if search.plain_skel(tok) else "false"
+        parts.append(f"CASE WHEN {a} THEN 120 WHEN {b} THEN 80 WHEN strpos(' ' || tn, ' ' || '{tok}') > 0 THEN 15 WHEN contains(tn, '{tok}') THEN 8 ELSE 0 END")
+        hit.append(f"({a} OR {b})")
+    tail = f"{' + '.join(parts)} + CASE WHEN {' AND '.join(hit)} THEN 100 ELSE 0 END"
+    return f"""SELECT rec_id, round(pts + {N.pop_boost_sql('lk')}, 6) AS score FROM (
+      SELECT rec_id, lk, CASE WHEN n = '{lemma}' THEN 1000 WHEN starts_with(n, '{lemma}') THEN 600 WHEN contains(n, '{lemma}') THEN 400
+        WHEN s = '{bare}' THEN 800 WHEN starts_with(s, '{bare}') THEN 450 WHEN contains(s, '{bare}') THEN 300 ELSE {tail} END AS pts
+      FROM (SELECT rec_id, lk, n, {X.skel_sql('n')} AS s, tn FROM (SELECT rec_id, lk, {dh} AS n, {t} AS tn FROM rashi WHERE {where}))) WHERE pts > 0 ORDER BY score DESC, rec_id {limit}"""
+
+
+@query(ladder_sql("כי אם", "true"))
+def lemma_ladder(spark: SparkSession, base: str) -> DataFrame:
+    """SCR1, SCR2, FLT4, FLT7, FLT8: every row the ladder keeps."""
+    return search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="כי אם"), limit=None).select("rec_id", "score")
+
+
+@query(ladder_sql("את", "true", "LIMIT 60"))
+def lemma_ladder_topk(spark: SparkSession, base: str) -> DataFrame:
+    """SRT1, SRT6."""
+    return search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="את")).select("rec_id", "score")
+
+
+@query(f"SELECT rec_id, round(1.0 + {N.pop_boost_sql('lk')}, 6) AS score FROM rashi WHERE b = (SELECT min(b) FROM rashi) AND c = 1 ORDER BY score DESC, rec_id")
+def fielded_filter(spark: SparkSession, base: str) -> DataFrame:
+    """FLT3, FLT6."""
+    df = table(spark, base, "rashi", "rec_id", "b", "p", "c", "v", "lk")
+    return search.search(df, search.Query(book=df.agg(F.min("b")).first()[0], chapter=1), limit=None).select("rec_id", "score")
+
+
+@query(f"SELECT rec_id, round(1.0 + {N.pop_boost_sql('lk')}, 6) AS score FROM rashi ORDER BY score DESC, rec_id LIMIT 60")
+def browse_topk(spark: SparkSession, base: str) -> DataFrame:
+    """FLT6, SRT1."""
+    return search.search(table(spark, base, "rashi", "rec_id", "b", "p", "c", "v", "lk"), search.Query()).select("rec_id", "score")
+
+
+@query(f"""SELECT rec_id, round(CASE WHEN contains({X.normalize_sql('dh')}, 'כי') THEN 30.0 ELSE 1.0 END + {N.pop_boost_sql('lk')}, 6) AS score
+FROM rashi WHERE c = 1 AND v = 2""")
+def location_pin(spark: SparkSession, base: str) -> DataFrame:
+    """FLT5, JN5: rows at a pinned place stay when the keywords miss."""
+    df = table(spark, base, "rashi", "rec_id", "b", "p", "c", "v", "dh", "lk")
+    free = df.where(F.contains(X.normalize(F.col("dh")), F.lit("כי"))).select("rec_id", F.lit(30.0).alias("score"))
+    return search.search(df, search.Query(chapter=1, verse=2, words="כי"), free, limit=None).select("rec_id", "score")
+
+
+# ---- names (AGG8-AGG9, RES1-RES3, JN6-JN8, WIN7) ----
+
+ALIASED = f"""SELECT key, min(entity) AS entity, count(DISTINCT entity) > 1 AS ambiguous FROM (
+  SELECT b AS entity, array_to_string(list_transform({index.tokens_sql('b')}, lambda w: {index.fold_sql('w')}), '|') AS key, len({index.tokens_sql('b')}) AS n FROM (SELECT DISTINCT b FROM rashi)
+  UNION SELECT b, {index.fold_sql('unnest(' + index.tokens_sql('b') + ')')}, 1 FROM (SELECT DISTINCT b FROM rashi)
+) WHERE n IN (1, 2) AND key <> '' GROUP BY key"""
+
+
+def _registry(spark: SparkSession, base: str) -> DataFrame:
+    books = table(spark, base, "rashi", "b").distinct()
+    whole = resolve.aliases(books, "b", "b").select("entity", "key")
+    parts = books.select(F.col("b").alias("entity"), F.explode(index.tokens(F.col("b"))).alias("w")).select("entity", index.fold(F.col("w")).alias("key")).where("key <> ''")
+    return resolve.collide(whole.union(parts).distinct())
+
+
+@query(ALIASED)
+def alias_collisions(spark: SparkSession, base: str) -> DataFrame:
+    """AGG9, RES2, MAP1."""
+    return _registry(spark, base)
+
+
+@query(f"""SELECT word, min(entity) AS entity, d FROM (
+  SELECT q.word, a.entity, a.ambiguous, levenshtein(q.word, a.key) AS d, min(levenshtein(q.word, a.key)) OVER (PARTITION BY q.word) AS best
+  FROM (SELECT DISTINCT {index.fold_sql('unnest(' + index.query_tokens_sql('query') + ')')} AS word FROM queries_partial) q, ({ALIASED}) a
+  WHERE length(q.word) >= 3 AND levenshtein(q.word, a.key) <= CASE WHEN length(q.word) >= 6 THEN 2 ELSE 1 END)
+WHERE d = best GROUP BY word, d HAVING count(DISTINCT entity) = 1 AND NOT bool_or(ambiguous)""")
+def fuzzy_alias_unique(spark: SparkSession, base: str) -> DataFrame:
+    """AGG8, JN8: folded query words against the book aliases."""
+    asked = table(spark, base, "queries_partial", "query").select(F.explode(index.query_tokens(F.col("query"))).alias("w")).select(index.fold(F.col("w")).alias("word")).distinct()
+    return resolve.fuzzy_unique(asked, _registry(spark, base)).select("word", "entity", F.col("d").cast("bigint").alias("d"))
+
+
+@query("""SELECT DISTINCT coalesce(s.p, trim(x.part)) AS p, x.adjacent FROM (
+  SELECT unnest(string_split(upper(p), '-')) AS part, ord_no % 2 = 0 AS adjacent FROM sections WHERE p IS NOT NULL) x
+LEFT JOIN (SELECT DISTINCT p FROM sections) s ON regexp_replace(lower(x.part), '[^a-z]', '', 'g') = regexp_replace(lower(s.p), '[^a-z]', '', 'g')""")
+def calendar_names(spark: SparkSession, base: str) -> DataFrame:
+    """JN6, SRC7: calendar entries, spelled in capitals, against section names."""
+    sections = table(spark, base, "sections", "p", "ord_no")
+    items = sections.where("p is not null").select(F.upper("p").alias("name"), (F.col("ord_no") % 2 == 0).alias("adjacent"))
+    return resolve.calendar_names(items, sections)
+
+
+@query(f"""SELECT rec_id, CAST(pos AS INT) AS pos, w[pos] AS token, w[pos + 1] AS next FROM (SELECT rec_id, w, unnest(generate_series(1, len(w))) AS pos FROM (SELECT rec_id, {index.tokens_sql('dh')} AS w FROM rashi))""")
+def token_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """WIN7."""
+    return sample.lookahead(table(spark, base, "rashi", "rec_id", "dh").withColumn("w", index.tokens(F.col("dh"))), "w", "rec_id")
+
+
+# ---- inverted index and free text (FTX1-FTX6) ----
+
+POSTED = f"""SELECT rec_id, field, token, {index.fold_sql('token')} AS fkey, count(*) AS n, CAST(min(pos) AS INT) - 1 AS first_pos, CAST(size AS INT) AS size FROM (
+  SELECT rec_id, field, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos, len(ts) AS size FROM (
+    SELECT rec_id, 'dh' AS field, {index.tokens_sql('dh')} AS ts FROM rashi UNION ALL SELECT rec_id, 't', {index.tokens_sql('t')} FROM rashi UNION ALL SELECT rec_id, 'vt', {index.tokens_sql('vt')} FROM rashi))
+GROUP BY rec_id, field, token, size"""
+ASKED = f"SELECT DISTINCT id AS qid, unnest({index.query_tokens_sql('query')}) AS qtoken FROM queries_partial"
+FOUND = f"""SELECT qtoken, token, round(20.0 * (1 - d / length(qkey)), 6) AS tier, round(1 - levenshtein(qtoken, {index.fold_vowels_sql('token')}) / greatest(length(qtoken), length({index.fold_vowels_sql('token')}), 1), 6) AS refine FROM (
+  SELECT q.qtoken, q.qkey, v.token, levenshtein(q.qkey, v.fkey) AS d FROM (SELECT DISTINCT qtoken, {index.fold_sql('qtoken')} AS qkey FROM asked) q, (SELECT DISTINCT token, fkey FROM posted WHERE fkey <> '') v
+  WHERE q.qkey <> '' AND abs(length(q.qkey) - length(v.fkey)) <= 2) WHERE d <= CASE WHEN length(qkey) < 3 THEN 0 WHEN length(qkey) < 6 THEN 1 ELSE 2 END"""
+
+
+def _posted(spark: SparkSession, base: str, *fields: str) -> DataFrame:
+    return index.postings(table(spark, base, "rashi", "rec_id", *fields), "rec_id", fields)
+
+
+def _asked(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "queries_partial", "id", "query").select(F.col("id").alias("qid"), F.explode(index.query_tokens(F.col("query"))).alias("qtoken")).distinct()
+
+
+@query(POSTED)
+def postings(spark: SparkSession, base: str) -> DataFrame:
+    """FTX1."""
+    return _posted(spark, base, "dh", "t", "vt")
+
+
+@query(f"WITH posted AS ({POSTED}) SELECT q.qid, p.rec_id, count(*) AS n_tokens FROM ({ASKED}) q JOIN posted p ON p.field = 'dh' AND p.fkey = {index.fold_sql('q.qtoken')} AND p.fkey <> '' GROUP BY q.qid, p.rec_id")
+def exact_token_search(spark: SparkSession, base: str) -> DataFrame:
+    """FTX2."""
+    asked = _asked(spark, base).withColumn("fkey", index.fold(F.col("qtoken"))).where("fkey <> ''")
+    return asked.join(_posted(spark, base, "dh"), "fkey").groupBy("qid", "rec_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query(f"WITH posted AS ({POSTED}), asked AS ({ASKED}) {FOUND}")
+def fuzzy_token_search(spark: SparkSession, base: str) -> DataFrame:
+    """FTX3, FTX4: distinct pairs of query and vocabulary tokens within the bound, with tier and refinement."""
+    return index.token_matches(_asked(spark, base), _posted(spark, base, "dh", "t", "vt"))
+
+
+COVERED = """SELECT qid, rec_id, sum(n) / max(size) AS coverage FROM (SELECT DISTINCT a.qid, p.rec_id, p.token, p.n, p.size FROM asked a JOIN found f USING (qtoken) JOIN posted p ON p.token = f.token AND p.field = 'dh') GROUP BY qid, rec_id"""
+
+
+def scored_sql(cover: str = "20.0", latin: str = "40.0") -> str:
+    return f"""SELECT s.qid, s.rec_id, round(s.s + {cover} * coalesce(c.coverage, 0.0), 6) AS score FROM (
+      SELECT qid, rec_id, sum(s) AS s FROM (SELECT qid, rec_id, qtoken, max(w * tier + CASE WHEN regexp_matches(qtoken, '[a-z]') THEN {latin} ELSE 10.0 END * refine) AS s FROM (
+        SELECT qid, rec_id, qtoken, field, CASE field WHEN 'dh' THEN 3.0 ELSE 1.0 END AS w, m.tier AS tier, m.refine AS refine FROM (
+          SELECT a.qid, p.rec_id, a.qtoken, p.field, max(struct_pack(tier := f.tier, refine := f.refine)) AS m FROM asked a JOIN found f USING (qtoken) JOIN posted p ON p.token = f.token GROUP BY ALL)) GROUP BY qid, rec_id, qtoken) GROUP BY qid, rec_id) s
+    LEFT JOIN covered c USING (qid, rec_id)"""
+
+
+POSTED_DH = f"""SELECT rec_id, 'dh' AS field, token, {index.fold_sql('token')} AS fkey, count(*) AS n, len(ts) AS size FROM (SELECT rec_id, unnest(ts) AS token, ts FROM (SELECT rec_id, {index.tokens_sql('dh')} AS ts FROM rashi)) GROUP BY rec_id, token, ts"""
+RANKED = f"""WITH posted AS (SELECT rec_id, field, token, fkey, sum(n) AS n, max(size) AS size FROM ({POSTED_DH}) GROUP BY ALL), asked AS ({ASKED}), found AS ({FOUND}), covered AS ({COVERED}), scored AS ({scored_sql()}),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id) AS rn FROM scored) WHERE rn <= 60)"""
+
+
+@query(RANKED + " SELECT qid, rec_id, score FROM hits")
+def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
+    """FTX5, FTX6, SRT1: every stored query against the lemmas, the best 60 each."""
+    return _hits(spark, base)
+
+
+def _hits(spark: SparkSession, base: str) -> DataFrame:
+    found = index.batch_search(_asked(spark, base), _posted(spark, base, "dh"), "rec_id", index.SearchOptions(fields={"dh": 3.0}))
+    return search.top_by(found, "qid", "score", "rec_id", evaluate.LIMIT)
+
+
+# ---- evaluation (AGG4-AGG7, AGG12, WIN1, JN9, SRT3, EVL3-EVL6) ----
+
+GOLD = """SELECT q.id AS qid, min(r.rec_id) AS target, min(q.style) AS style, min(lower(trim(q.variant))) AS variant, min(q.dhWords) AS dhWords FROM queries_partial q
+LEFT JOIN rashi r ON r.b = q.expected.b AND r.c = q.expected.c AND r.v = q.expected.v AND r.i = q.expected.i GROUP BY q.id"""
+RESULTS = f"""SELECT g.*, CASE WHEN h.at IS NOT NULL THEN (SELECT count(*) FROM hits x WHERE x.qid = g.qid AND x.score > h.at) + 1 END AS rank,
+CASE WHEN h.at IS NOT NULL THEN (SELECT count(*) FROM hits x WHERE x.qid = g.qid AND x.score = h.at) END AS tie FROM ({GOLD}) g LEFT JOIN (SELECT qid, rec_id AS target, score AS at FROM hits) h ON h.qid = g.qid AND h.target = g.target"""
+METRICS = """count(*) AS n, round(100 * count(*) FILTER (rank = 1 AND tie = 1) / count(*), 1) AS top1, round(100 * count(*) FILTER (rank = 1) / count(*), 1) AS top1tied,
+round(100 * count(*) FILTER (rank <= 3) / count(*), 1) AS top3, round(sum(coalesce(1 / rank, 0)) / count(*), 3) AS mrr, round(100 * count(*) FILTER (rank IS NULL) / count(*), 1) AS miss"""
+BUCKET = "CASE WHEN dhWords <= 2 THEN '1-2' WHEN dhWords <= 4 THEN '3-4' ELSE '5+' END"
+
+
+def _gold(spark: SparkSession, base: str) -> DataFrame:
+    asked = table(spark, base, "queries_partial", "id", "style", "variant", "dhWords", "expected").select(F.col("id").alias("qid"), "style", F.lower(F.trim("variant")).alias("variant"), "dhWords", "expected.*")
+    joined = asked.join(table(spark, base, "rashi", "rec_id", "b", "c", "v", "i"), ["b", "c", "v", "i"], "left")
+    return joined.groupBy("qid").agg(F.min("rec_id").alias("target"), F.min("style").alias("style"), F.min("variant").alias("variant"), F.min("dhWords").alias("dhWords"))
+
+
+@query(GOLD)
+def gold_join(spark: SparkSession, base: str) -> DataFrame:
+    """JN9."""
+    return _gold(spark, base)
+
+
+def _results(spark: SparkSession, base: str) -> DataFrame:
+    gold = _gold(spark, base)
+    return gold.join(evaluate.target_ranks(_hits(spark, base), gold.select("qid", "target")), "qid", "left").withColumn("bucket", N.word_bucket(F.col("dhWords")))
+
+
+@query(f"{RANKED} SELECT qid, rank, tie FROM ({RESULTS})")
+def competition_rank(spark: SparkSession, base: str) -> DataFrame:
+    """AGG7, WIN1, EVL3."""
+    return _results(spark, base).select("qid", "rank", "tie")
+
+
+@query(f"""{RANKED}, results AS (SELECT *, {BUCKET} AS bucket FROM ({RESULTS}))
+SELECT style, variant, bucket, CAST(grouping(style, variant, bucket) AS BIGINT) AS gid, {METRICS} FROM results GROUP BY GROUPING SETS ((), (style), (variant), (bucket))""")
+def metrics_grouping_sets(spark: SparkSession, base: str) -> DataFrame:
+    """AGG4, AGG5, AGG6, EVL4, NUM3."""
+    return evaluate.by_groups(_results(spark, base), "style", "variant", "bucket")
+
+
+@query(f"{RANKED} SELECT qid, rank, tie FROM ({RESULTS}) ORDER BY rank DESC NULLS FIRST, qid LIMIT 15")
+def worst_k(spark: SparkSession, base: str) -> DataFrame:
+    """SRT3, EVL5."""
+    return evaluate.worst(_results(spark, base)).select("qid", "rank", "tie")
+
+
+@query("SELECT CAST(max(length(b)) AS INT) AS b, CAST(max(length(p)) AS INT) AS p, CAST(max(length(CAST(c AS VARCHAR))) AS INT) AS c FROM rashi")
+def column_widths(spark: SparkSession, base: str) -> DataFrame:
+    """AGG12."""
+    return evaluate.widths(table(spark, base, "rashi", "b", "p", "c"))
+
+
+SWEEP = ((10.0, 10.0), (20.0, 10.0), (20.0, 40.0), (30.0, 10.0))
+
+
+@query()
+def weight_sweep(spark: SparkSession, base: str) -> DataFrame:
+    """EVL6, AGG11: metrics for several weights from one feature table."""
+    asked, post, gold = _asked(spark, base), _posted(spark, base, "dh"), _gold(spark, base)
+    options = index.SearchOptions(fields={"dh": 3.0})
+    found = index.token_matches(asked, post, options)
+    feats, covered = index.features(asked, found, post, "rec_id"), index.coverage(asked, found, post, "rec_id")
+    parts = []
+    for cover, latin in SWEEP:
+        hits = search.top_by(index.scores(feats, covered, "rec_id", index.SearchOptions(fields={"dh": 3.0}, coverage=cover, refine_latin=latin)), "qid", "score", "rec_id", evaluate.LIMIT)
+        ranks = gold.select("qid").join(evaluate.target_ranks(hits, gold.select("qid", "target")), "qid", "left")
+        parts.append(ranks.agg(*evaluate.metrics()).select(F.lit(cover).alias("coverage"), F.lit(latin).alias("refine"), "*"))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+# ---- sampling and query generation (WIN2-WIN6, SMP1-SMP3, SRT4, JN10, EVL1-EVL2, EVL7, FLT10-FLT11) ----
+
+TIERED = f"SELECT *, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY coalesce(lk, 0) DESC, rec_id) - 1) / ceil(count(*) OVER (PARTITION BY bucket) / 3)) AS INT) AS tier FROM (SELECT rec_id, lk, CASE WHEN n <= 2 THEN '1-2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS bucket FROM (SELECT rec_id, lk, len({X.words_sql('dh')}) AS n FROM rashi))"
+
+
+def _bucketed(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "rashi", "rec_id", "dh", "lk").select("rec_id", "lk", N.word_bucket(F.size(X.words(F.col("dh")))).alias("bucket"))
+
+
+@query(f"SELECT rec_id, bucket, tier FROM ({TIERED})")
+def tercile_split(spark: SparkSession, base: str) -> DataFrame:
+    """WIN3, SRT4."""
+    return sample.terciles(_bucketed(spark, base), "lk", "rec_id", "bucket").select("rec_id", "bucket", "tier")
+
+
+@query(f"""SELECT rec_id, bucket, tier, CAST(row_number() OVER (PARTITION BY bucket ORDER BY k, tier) AS INT) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY bucket, tier ORDER BY md5('1:' || rec_id), rec_id) AS k FROM ({TIERED})) QUALIFY place <= 20""")
+def spread_interleave(spark: SparkSession, base: str) -> DataFrame:
+    """WIN4, WIN5, SMP3."""
+    tiers = sample.terciles(_bucketed(spark, base), "lk", "rec_id", "bucket")
+    return sample.interleaved(tiers, "tier", "rec_id", "bucket", 20).select("rec_id", "bucket", "tier", "place")
+
+
+@query("SELECT rec_id FROM rashi ORDER BY md5('1:' || rec_id), rec_id LIMIT 25")
+def uniform_sample(spark: SparkSession, base: str) -> DataFrame:
+    """SMP1, WIN2, EVL7."""
+    return sample.uniform(table(spark, base, "rashi", "rec_id"), "rec_id", 25)
+
+
+@query("""SELECT rec_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5('1:' || rec_id), rec_id) AS k FROM (
+  SELECT rec_id, CAST(floor((row_number() OVER (ORDER BY coalesce(lk, 0) DESC, rec_id) - 1) / ceil(count(*) OVER () / 3)) AS INT) AS tier FROM rashi)) WHERE k <= CASE tier WHEN 0 THEN 4 WHEN 1 THEN 4 ELSE 3 END""")
+def stratified_sample(spark: SparkSession, base: str) -> DataFrame:
+    """SMP2, SET3."""
+    return sample.stratified(table(spark, base, "rashi", "rec_id", "lk"), "lk", "rec_id", 11).select("rec_id", "tier")
+
+
+ALIGNED = f"""SELECT rec_id, list_transform(u, lambda x: coalesce(list_filter(vt, lambda y: {X.bare_sql('y')} = x)[1], list_filter(t, lambda y: {X.bare_sql('y')} = x)[1])) AS m FROM (
+  SELECT rec_id, list_transform(list_filter({X.words_sql('dh')}, lambda x: translate(x, '’׳', '''''') NOT IN ('וגו''', 'וכו''') AND regexp_matches(x, '[א-ת]')), lambda x: {X.bare_sql("regexp_replace(x, '[׳''\"״]+$', '')")}) AS u,
+  list_transform({X.words_sql('vt')}, lambda x: regexp_replace(x, '[\\x{{0591}}-\\x{{05af}}]', '', 'g')) AS vt, list_transform({X.words_sql('t')}, lambda x: regexp_replace(x, '[\\x{{0591}}-\\x{{05af}}]', '', 'g')) AS t FROM rashi) WHERE len(u) >= 1"""
+
+
+def _vocalized(spark: SparkSession, base: str, *keep: str) -> DataFrame:
+    df = table(spark, base, "rashi", "rec_id", *keep, "dh", "t", "vt")
+    tokens = F.filter(X.words(F.col("dh")), X.usable)
+    found = sample.aligned(F.transform(tokens, lambda t: X.bare(X.no_trailing_marks(t))), X.vocalized(F.col("vt")), X.vocalized(F.col("t")), X.bare)
+    return df.where(F.size(tokens) >= 1).select("rec_id", *keep, found.alias("m"), F.size(tokens).alias("dh_words")).where("m is not null")
+
+
+@query(f"SELECT rec_id, array_to_string(m, ' ') AS vocalized FROM ({ALIGNED}) WHERE len(list_filter(m, lambda x: x IS NULL)) = 0")
+def skeleton_alignment(spark: SparkSession, base: str) -> DataFrame:
+    """JN10, FLT10, FLT11, STR13-STR15: lemmas in the pointed spelling of verse or body."""
+    return _vocalized(spark, base).select("rec_id", F.array_join("m", " ").alias("vocalized"))
+
+
+@query("""SELECT id, query, style, variant FROM (SELECT *, row_number() OVER (PARTITION BY id, query ORDER BY style, variant, loaded_at) AS rn FROM queries_partial) WHERE rn = 1""")
+def keep_first_query(spark: SparkSession, base: str) -> DataFrame:
+    """WIN6, SET4."""
+    df = table(spark, base, "queries_partial", "id", "query", "style", "variant", "loaded_at")
+    return sample.keep_first(df, ["id", "query"], ["style", "variant", "loaded_at"]).select("id", "query", "style", "variant")
