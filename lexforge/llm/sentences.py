@@ -59,6 +59,7 @@ _BLANK = re.compile(rf"(?<=[{BLANK_ENDS}\d])\s+(?=[{BLANK_ENDS}])")
 _THAI = re.compile(f"[{BLANK_ENDS}]")
 _TOKEN = re.compile(r"[^\s.…．!?؟।。׃\"«»“”„‹›()\[\]{}<>,;:]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_AMID = re.compile(r"(?<=[\w,;] )[^\W\d_a-zа-яё][^\W\d_]*(?:['’-][^\W\d_]+)*")
 _INNER = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + r"]+(?=\s|[^\W\d_])")
 
 #: A token type counts in the corpus fallback if it makes up this share of all tokens
@@ -128,14 +129,57 @@ def lexicon(counted: list[tuple[str, int, int, int, int, int, int, int]]) -> tup
     return frozenset(opened), frozenset(reference), frozenset(closing)
 
 
+class Document:
+    """What one text says unambiguously; gathered once, and only if some full stop needs it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._abbreviated: Counter | None = None
+        self._bare: frozenset = frozenset()
+        self._small: frozenset = frozenset()
+        self._capital: Counter = Counter()
+
+    def _gather(self) -> None:
+        t, found = self.text, Counter()
+        for m in _DOT.finditer(t):
+            ch = t[m.end() : m.end() + 1]
+            if ch.isspace():
+                ch = t[m.end() + 1 : m.end() + 2]
+            if ch in (",", ";") or ch.isdigit() or ch.islower():
+                found[_token(t, m.start(), 0)] += 1
+        self._abbreviated = found
+        self._small = frozenset(w for w in _WORD.findall(t) if w[0].islower())
+        self._capital = Counter(_AMID.findall(t))
+        self._bare = frozenset(_SHORT.findall(t))
+
+    def abbreviated(self, token: str, here: bool) -> bool:
+        """The token stands with its stop before a small letter, digit or comma; ``here`` it does so itself, which doesn't count."""
+        if self._abbreviated is None:
+            self._gather()
+        return self._abbreviated[token] > here
+
+    def bare(self, token: str) -> bool:
+        """The text also has the short token without a stop."""
+        if self._abbreviated is None:
+            self._gather()
+        return token in self._bare
+
+    def proper(self, word: str) -> bool:
+        """The text has the word with its capital amid a sentence, never with a small letter."""
+        if self._abbreviated is None:
+            self._gather()
+        return word.lower() not in self._small and self._capital[word] > 0
+
+
 class Splitter:
     """Cuts texts into sentences with the abbreviations of a corpus."""
 
     def __init__(self, opened: frozenset = frozenset(), reference: frozenset = frozenset(), closing: frozenset = frozenset()):
         self.opened, self.reference, self.closing = opened, reference, closing
 
-    def _dot_ends(self, t: str, at: int, after: int, line: tuple[int, int]) -> bool:
+    def _dot_ends(self, doc: Document, at: int, after: int, line: tuple[int, int]) -> bool:
         """Whether the full stop at ``at`` ends its sentence; ``after`` comes behind it."""
+        t = doc.text
         ch, where, blank = _next(t, after, line[1])
         if not ch:
             return True
@@ -151,55 +195,49 @@ class Splitter:
         if not token or token[-1].isdigit():
             return blank or kind != "dig"
         if kind == "dig":
-            return not (token in self.reference or token in self.opened or self._abbreviated(t, token, at)) and (blank or len(token) > 1)
+            return not (token in self.reference or token in self.opened or doc.abbreviated(token, True)) and (blank or len(token) > 1)
         if kind == "let":
             return blank or len(token) > 1
         if token in self.opened:
             return False
         if token in self.closing:
             return True
-        if len(token) <= 2 and token[0].isupper() and not re.search(rf"(?<!\w){re.escape(token)}(?![\w.])", t):
+        if len(token) <= 2 and token[0].isupper() and not doc.bare(token):
             return False
         word = _WORD.match(t, where)
-        return not (self._abbreviated(t, token, at) and word and self._proper(t, word[0], where))
-
-    @staticmethod
-    def _abbreviated(t: str, token: str, at: int) -> bool:
-        """The text has the token with its stop before a small letter, digit or comma elsewhere."""
-        return any(m.start() + len(token) != at for m in re.finditer(rf"(?<!\w){re.escape(token)}\.(?=\s?[,;\da-zа-яё])", t))
-
-    @staticmethod
-    def _proper(t: str, word: str, at: int) -> bool:
-        """Elsewhere the text has the word with its capital amid a sentence, never without."""
-        if re.search(rf"(?<!\w){re.escape(word.lower())}(?!\w)", t):
-            return False
-        return any(m.start() != at for m in re.finditer(rf"(?<=[\w,;] ){re.escape(word)}(?!\w)", t))
+        return not (doc.abbreviated(token, False) and word and doc.proper(word[0]))
 
     def _regions(self, t: str, marks: list[re.Match]) -> list[tuple[int, int, bool]]:
         """Matched (start, end behind the closing sign, is a quotation), outermost only."""
         stack: list[tuple[str, int, bool]] = []
+        open_: Counter = Counter()
         found: list[tuple[int, int, bool]] = []
+
+        def close(ch: str, i: int) -> None:
+            while True:
+                want, start, quote = stack.pop()
+                open_[want] -= 1
+                if want == ch:
+                    found.append((start, i + 1, quote))
+                    return
+
         for m in marks:
             ch = m[0]
             i = m.start()
-            if ch in _PAIRS and not (ch == "“" and stack and stack[-1][0] == "“"):
+            if ch in _PAIRS and not (ch == "“" and open_["“"]):
                 stack.append((_PAIRS[ch], i, ch in QUOTES))
+                open_[_PAIRS[ch]] += 1
             elif ch == '"':
                 left, right = t[i - 1 : i] if i else "", t[i + 1 : i + 2]
                 if left.isalpha() and right.isalpha() or left and right and "֑" <= left <= "ת" and "א" <= right <= "ת":
                     continue
-                if any(s[0] == '"' for s in stack):
-                    while stack[-1][0] != '"':
-                        stack.pop()
-                    _, start, quote = stack.pop()
-                    found.append((start, i + 1, quote))
+                if open_['"']:
+                    close('"', i)
                 elif not right.isspace() and right and (not left or left.isspace() or not left.isalnum()):
                     stack.append(('"', i, True))
-            elif ch in _CLOSERS and any(s[0] == ch for s in stack):
-                while stack[-1][0] != ch:
-                    stack.pop()
-                _, start, quote = stack.pop()
-                found.append((start, i + 1, quote))
+                    open_['"'] += 1
+            elif open_[ch]:
+                close(ch, i)
         found.sort()
         outer: list[tuple[int, int, bool]] = []
         for r in found:
@@ -207,8 +245,9 @@ class Splitter:
                 outer.append(r)
         return outer
 
-    def _line(self, t: str, line: tuple[int, int]) -> list[int]:
+    def _line(self, doc: Document, line: tuple[int, int]) -> list[int]:
         """Places behind the sentences that end within the line."""
+        t = doc.text
         marks = list(_MARKS.finditer(t, *line))
         ends: list[int] = []
         regions = self._regions(t, [m for m in marks if m[0][0] not in SURE and m[0][0] not in DOTS]) if any(m[0] in _PAIRS or m[0] == '"' for m in marks) else []
@@ -222,7 +261,7 @@ class Splitter:
                 k += 1
             if k < len(regions) and regions[k][0] < at:
                 start, close, quote = regions[k]
-                if not quote or after < close - 1 and t[after : close - 1].strip("  \"»”」』)]") or t[after:close].isspace():
+                if not quote or after < close - 8 or after < close - 1 and t[after : close - 1].strip("  \"»”」』)]") or t[after:close].isspace():
                     continue
                 nxt, _, blank = _next(t, close, line[1])
                 kind = _kind(nxt)
@@ -237,7 +276,7 @@ class Splitter:
                 nxt, _, _ = _next(t, after, line[1])
                 if _kind(nxt) in ("up", "end"):
                     ends.append(after)
-            elif self._dot_ends(t, at, after, line):
+            elif self._dot_ends(doc, at, after, line):
                 ends.append(after)
         if _THAI.search(t, *line):
             ends += [m.start() for m in _BLANK.finditer(t, *line) if not any(a < m.start() < b for a, b, _ in regions) and self._of_thai(t, m.start(), line[0])]
@@ -258,10 +297,11 @@ class Splitter:
     def spans(self, t: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence; together they cover all of ``t`` but blanks."""
         found: list[tuple[int, int]] = []
+        doc = Document(t)
         for m in _LINES.finditer(t):
             low, high = m.span()
             at, first = low, len(found)
-            for end in [*self._line(t, (low, high)), high]:
+            for end in [*self._line(doc, (low, high)), high]:
                 a, b = at, end
                 while a < b and t[a].isspace():
                     a += 1
