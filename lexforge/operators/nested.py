@@ -140,6 +140,10 @@ class Shape:
     levels: tuple[Level, ...]
     wrappers: tuple[str, ...] = ()
 
+    def depth(self) -> int:
+        """Path steps down to the deepest level, wrapper included."""
+        return 1 + max(sum(len(x.steps) + 1 for x in above) for above, _ in self.tables().values())
+
     def tables(self) -> dict[str, tuple[tuple[Level, ...], Level]]:
         """Table name -> (the levels above it and itself, itself)."""
         found: dict[str, tuple[tuple[Level, ...], Level]] = {}
@@ -183,8 +187,9 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str, s
             leaves = inside
             tops = {p[0] for p, _, _ in leaves if p}
     keyed: dict[tuple, bool] = {}
+    deep = shape.depth()
     for p, _, _ in leaves:
-        for i, step in enumerate(p):
+        for i, step in enumerate(p[:deep]):
             if isinstance(step, str):
                 keyed[p[:i]] = keyed.get(p[:i], True) and step.isdecimal() and step.isascii() and int(step) > 0
     found: list[tuple[str, list[int], str, str | None]] = []
@@ -207,7 +212,7 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str, s
             if not rest and (value is None or value is EMPTY_LIST or value is EMPTY_OBJECT):
                 found.append((x.table, mine, "", None))
                 continue
-            dotted = ".".join(map(str, rest))
+            dotted = ".".join(map(str, rest)) if len(rest) <= deep else None
             if not rest and x.value:
                 found.append((x.table, mine, x.value, value))
             elif dotted in x.columns and value is not EMPTY_LIST and value is not EMPTY_OBJECT:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import numerals as N
 from lexforge.functions import text as X
+from lexforge.functions import translit as T
 from lexforge.operators import evaluate, index, ingest, nested, resolve, sample, search
+from lexforge.plans import parse
 from lexforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,3 +595,88 @@ def keep_first_query(spark: SparkSession, base: str) -> DataFrame:
     """WIN6, SET4."""
     df = table(spark, base, "queries_partial", "id", "query", "style", "variant", "loaded_at")
     return sample.keep_first(df, ["id", "query"], ["style", "variant", "loaded_at"]).select("id", "query", "style", "variant")
+
+
+# ---- transliteration and generated queries (TRN1-TRN11, EVL1-EVL2) ----
+
+STYLES = ("000_simple_sefardi", "075_artscroll_sephardic", "010_simple_ashkenazi")
+BRAILLE = {he: T.styles()["310_braille"].consonants[n][1] for he, n in T.LETTERS.items()}
+
+
+@query(f"SELECT rec_id, translate({X.normalize_sql('dh')}, '{''.join(BRAILLE)}', '{''.join(BRAILLE.values())}') AS cells FROM rashi")
+def translit_letters(spark: SparkSession, base: str) -> DataFrame:
+    """TRN8: letter mode of unpointed text."""
+    return table(spark, base, "rashi", "rec_id", "dh").select("rec_id", T.letters_only(X.normalize(F.col("dh"))).alias("cells"))
+
+
+@query()
+def translit_styles(spark: SparkSession, base: str) -> DataFrame:
+    """TRN1-TRN7, TRN9-TRN11: the lemmas in all fifteen styles."""
+    df = table(spark, base, "rashi", "rec_id", "dh")
+    return df.select("rec_id", *[T.transliterated(F.col("dh"), s).alias(s) for s in T.styles()])
+
+
+@query()
+def translit_stress(spark: SparkSession, base: str) -> DataFrame:
+    """TRN1, TRN6, TRN7, TRN9: syllables and stress."""
+    return table(spark, base, "rashi", "rec_id", "dh").select("rec_id", T.full(F.col("dh"), "000_simple_sefardi").alias("x")).select("rec_id", "x.*")
+
+
+def _sampled_lemmas(spark: SparkSession, base: str, most: int) -> DataFrame:
+    """The first ``most`` alignable records of each word bucket, popularity spread."""
+    usable = _vocalized(spark, base, "b", "c", "v", "i", "lk").withColumn("bucket", N.word_bucket(F.col("dh_words")))
+    return sample.interleaved(sample.terciles(usable, "lk", "rec_id", "bucket"), "tier", "rec_id", "bucket", most)
+
+
+@query()
+def generated_queries(spark: SparkSession, base: str) -> DataFrame:
+    """EVL1: sampled lemmas in three styles, clean and sloppy, each text of a record once."""
+    lemmas = _sampled_lemmas(spark, base, 20).withColumn("text", F.array_join("m", " "))
+    styled = F.array(*[F.struct(F.lit(s).alias("style"), F.lit(k).alias("o"), X.clean_variant(T.transliterated(F.col("text"), s)).alias("clean")) for k, s in enumerate(STYLES)])
+    each = lemmas.select("rec_id", "b", "c", "v", "i", "lk", "dh_words", F.explode(styled).alias("x")).select("*", "x.*")
+    both = F.array(F.struct(F.lit("clean").alias("variant"), F.col("clean").alias("query")), F.struct(F.lit("sloppy").alias("variant"), X.sloppy_variant(F.col("clean")).alias("query")))
+    flat = each.select("rec_id", "b", "c", "v", "i", "lk", "dh_words", "style", "o", F.posexplode(both).alias("k", "y")).select("*", "y.*").where("query <> ''").drop("y")
+    return sample.keep_first(flat, ["rec_id", "query"], ["o", "k"]).select(F.format_string("%s.%d.%d.%d__%s__%s", "b", "c", "v", "i", "style", "variant").alias("id"), "query", "style", "variant", F.struct("b", "c", "v", "i").alias("expected"), F.col("dh_words").alias("dhWords"), "lk")
+
+
+@query()
+def partial_queries(spark: SparkSession, base: str) -> DataFrame:
+    """EVL2, PRJ10: the first two words of long lemmas."""
+    lemmas = _sampled_lemmas(spark, base, 20).where("dh_words >= 5").withColumn("two", F.array_join(F.slice("m", 1, 2), " "))
+    text = X.clean_variant(T.transliterated(F.col("two"), STYLES[1]))
+    return lemmas.select(F.format_string("%s.%d.%d.%d__%s__partial", "b", "c", "v", "i", F.lit(STYLES[1])).alias("id"), text.alias("query"), F.struct("b", "c", "v", "i").alias("expected"), F.col("dh_words").alias("dhWords"), "lk").where("query <> ''")
+
+
+# ---- the query box (PRS1-PRS9, RES1, RES4) ----
+
+
+def names_of(spark: SparkSession, base: str) -> parse.Names:
+    """Books and sections: dimensions of a corpus, small by nature; checked before they come to the driver."""
+    sections = table(spark, base, "sections", "b", "bh", "p", "ph").limit(100_001).collect()
+    if len(sections) > 100_000:
+        raise ValueError("more than 100,000 sections")
+    return parse.Names(list(dict.fromkeys((r["b"], r["bh"]) for r in sections)), list(dict.fromkeys((r["p"], r["ph"], r["b"]) for r in sections)))
+
+
+@query()
+def smart_search(spark: SparkSession, base: str) -> DataFrame:
+    """PRS1-PRS9, RES1: a located free-text query through parser, hypothesis check and search."""
+    names = names_of(spark, base)
+    rows = search.search_columns(table(spark, base, "rashi"))
+    post = _posted(spark, base, "dh", "t")
+    book = next(iter(names.books.values()))
+
+    def run(q) -> DataFrame:
+        words = [w for w in parse.plain_normalize(q.words).split() if w]
+        free = None
+        if words:
+            asked = spark.createDataFrame([("q", w) for w in dict.fromkeys(words)], "qid string, qtoken string")
+            free = index.batch_search(asked, post, "rec_id")
+        return search.search(rows, q, free)
+
+    def top(q) -> dict | None:
+        first = run(q).first()
+        return first.asDict() if first else None
+
+    q = parse.resolve_soft(parse.parse(f"{book.split()[0]} ki", names), top)
+    return run(q).select("rec_id", "b", "c", "v", "i", "score")
