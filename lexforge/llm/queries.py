@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, base: str) -> DataFrame:
     scores = distinctive_terms(table(spark, base, "rashi", "rec_id", "dh", "t"), "rec_id", ["dh", "t"])
-    return scores.select("rec_id", "term", "n_in_record", "record_terms", "n_occurrences", "n_records", F.round("p_log10", 6).alias("p_log10"), F.round("score", 6).alias("score"))
+    return scores.select("rec_id", "term", "n_in_record", "record_terms", "n_occurrences", "n_records", (F.round("p_log10", 3) + F.lit(0.0)).alias("p_log10"), F.round("score", 3).alias("score"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

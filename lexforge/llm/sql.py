@@ -1,7 +1,50 @@
-"""Oracle SQL of the llm queries, where SQL can express them."""
+"""Oracle SQL of the llm queries, where SQL can express them.
+
+Plain spelling, as far as terms need it, is said here once more with single calls of
+translate, nfc_normalize and replace over every value.
+"""
 
 from __future__ import annotations
 
+from lexforge.llm.plain import tables
+from lexforge.llm.terms import DROPPED, LETTERS
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def terms_sql(value: str) -> str:
+    """The list of terms of ``value``."""
+    one, many, blanks, gone = tables()
+    hebrew = {k: v for k, v in one.items() if "א" <= v <= "ת"}
+    src = "".join(hebrew) + gone
+    plain = f"nfc_normalize(translate({value}, {_q(src)}, {_q(''.join(hebrew.values()))}))"
+    for k, v in many.items():
+        if all("א" <= x <= "ת" for x in v):
+            plain = f"replace({plain}, {_q(k)}, {_q(v)})"
+    return f"regexp_extract_all(regexp_replace({plain}, {_q(DROPPED)}, '', 'g'), {_q(LETTERS)})"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    each = f"SELECT rec_id, 'dh' AS field, unnest({terms_sql('dh')}) AS term FROM rashi UNION ALL SELECT rec_id, 't', unnest({terms_sql('t')}) FROM rashi"
+    counted = f"SELECT field, term, count(*) AS n_occurrences, count(DISTINCT rec_id) AS n_records FROM ({each}) GROUP BY field, term"
+    marked = f"SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records > (SELECT count(*) FROM rashi) / 20 THEN 'common' END AS mark FROM ({counted})"
+    cells = f"SELECT rec_id, term, count(*) AS k, count(*) OVER (PARTITION BY term) AS df, sum(count(*)) OVER (PARTITION BY term) AS good, sum(count(*)) OVER (PARTITION BY rec_id) AS n, sum(count(*)) OVER () AS total FROM ({each}) GROUP BY rec_id, term"
+    choose = "lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1)"
+    chance = f"exp({choose.format(a='good', b='j')} + {choose.format(a='(total - good)', b='(n - j)')} - ({choose.format(a='total', b='n')}))"
+    tail = f"SELECT *, ln(least(1.0, list_sum(list_transform(range(CAST(greatest(k, n - (total - good)) AS BIGINT), CAST(least(n, good) + 1 AS BIGINT)), lambda j: {chance})))) AS lp FROM (SELECT rec_id, term, k, df, CAST(good AS DOUBLE) AS good, CAST(n AS DOUBLE) AS n, CAST(total AS DOUBLE) AS total FROM ({cells}))"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY lp, term) AS r, count(*) OVER (PARTITION BY rec_id) AS m FROM ({tail})"
+    adjusted = f"SELECT *, min(lp + ln(m) - ln(r)) OVER (PARTITION BY rec_id ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lq FROM ({ranked})"
+    return {
+        "p1_found": f"SELECT rec_id, term FROM ({cells}) WHERE k >= 3 AND df BETWEEN 2 AND 8",
+        "p1_scores": f"SELECT rec_id, term, k AS n_in_record, CAST(n AS BIGINT) AS record_terms, CAST(good AS BIGINT) AS n_occurrences, df AS n_records, round(lp / ln(10), 3) + 0.0 AS p_log10, round(abs(least(lq, 0.0)) / ln(10), 3) AS score FROM ({adjusted})",
+        "p5_found": """SELECT t.plan_id, t.stratum_id FROM sample_targets t LEFT JOIN queries_partial q
+          ON q.dhWords >= t.dhwords_lo AND (t.dhwords_hi IS NULL OR q.dhWords <= t.dhwords_hi) AND q.lk >= t.lk_lo AND (t.lk_hi IS NULL OR q.lk <= t.lk_hi)
+          GROUP BY t.plan_id, t.stratum_id, t.min_rows, t.target_share, t.sample_size HAVING count(DISTINCT q.id) < greatest(t.min_rows, t.target_share * t.sample_size)""",
+        "p6_found": f"SELECT field, term, mark FROM ({marked}) WHERE mark IS NOT NULL",
+        "p6_terms": f"SELECT field, term, n_occurrences, n_records, mark FROM ({marked})",
+        "p7_found": "SELECT c.capacity_id, d.doc_id FROM documents d JOIN containers c ON strlen(d.text) > c.capacity_tokens",
+        "p8_found": """SELECT mix_id, source FROM (SELECT m.*, coalesce(d.n, 0) AS n, m.budget_tokens * m.weight / sum(m.weight) OVER (PARTITION BY m.mix_id) AS want FROM mix_targets m
+          LEFT JOIN (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) d ON d.source = m.source) WHERE n * max_repeats < want""",
+    }
