@@ -69,14 +69,18 @@ class Names:
         self.sections: dict[str, Section] = {}
         self.book_keys: dict[str, set[str]] = {}
         self.section_keys: dict[str, set[Section]] = {}
+        self.spelled: dict[str, set] = {}
         for en, he in books:
             for w in [he.replace(" ", ""), *re.findall(r"[^\W\d_']+", en)]:
                 self.book_keys.setdefault(plain_fold(w), set()).add(en)
+                self.spelled.setdefault(w.lower(), set()).add(en)
         for name, he, book in sections:
             s = Section(name, he, book)
             self.sections.setdefault(plain_normalize(he or ""), s)
             for text in (name or "", he or ""):
-                ws = [plain_fold(w) for w in plain_normalize(text.replace("-", " ")).split()]
+                said = plain_normalize(text.replace("-", " ")).lower()
+                self.spelled.setdefault(said, set()).add(s)
+                ws = [plain_fold(w) for w in said.split()]
                 if 1 <= len(ws) <= 2 and all(ws):
                     self.section_keys.setdefault("|".join(ws), set()).add(s)
 
@@ -96,11 +100,16 @@ class Names:
             best = d
         return (next(iter(near)), True) if len(near) == 1 and None not in near else (None, False)
 
+    def _said(self, text: str, kind: type) -> tuple[object, bool] | None:
+        """By exact spelling, which comes before folded keys, where it names one entity of the kind."""
+        found = [x for x in self.spelled.get(text.lower(), ()) if isinstance(x, kind)]
+        return (found[0], False) if len(found) == 1 else None
+
     def book_by_key(self, token: str) -> tuple[object, bool]:
-        return self._found(self.book_keys, plain_fold(token), 3)
+        return self._said(token, str) or self._found(self.book_keys, plain_fold(token), 3)
 
     def section_by_key(self, *tokens: str) -> tuple[object, bool]:
-        return self._found(self.section_keys, "|".join(map(plain_fold, tokens)), 3 if len(tokens) == 1 else 1)
+        return self._said(" ".join(tokens), Section) or self._found(self.section_keys, "|".join(map(plain_fold, tokens)), 3 if len(tokens) == 1 else 1)
 
 
 def parse(raw: str, names: Names, split_refs: bool = False) -> Query:
