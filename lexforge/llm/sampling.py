@@ -42,14 +42,9 @@ def flight(z: np.ndarray, groups: np.ndarray, chance: np.ndarray) -> np.ndarray:
             continue
         a = z[j]
         if a + b < 1:
-            if u < a / (a + b):
-                z[j], z[i] = a + b, 0.0
-            else:
-                z[j], z[i] = 0.0, a + b
-        elif u < (1 - b) / (2 - a - b):
-            z[j], z[i] = a + b - 1, 1.0
+            z[j], z[i] = (a + b, 0.0) if u < a / (a + b) else (0.0, a + b)
         else:
-            z[j], z[i] = 1.0, a + b - 1
+            z[j], z[i] = (1.0, a + b - 1) if u < (1 - b) / (2 - a - b) else (a + b - 1, 1.0)
         for k in (j, i):
             if z[k] < NEAR or z[k] > 1 - NEAR:
                 z[k] = float(round(z[k]))
@@ -129,12 +124,14 @@ def balanced_sample(df: DataFrame, key: str, measures: tuple[str, ...], targets:
     wanted = {(t["plan_id"], t["stratum_id"]): max(float(t["min_rows"] or 0), float(t["target_share"] or 0) * float(t["sample_size"] or 0)) for t in targets}
     chances = {k: min(1.0, w / available[k]) for k, w in wanted.items() if available.get(k)}
 
-    def fly(batches: Iterator[pa.RecordBatch], landing: bool = False) -> Iterator[pa.RecordBatch]:
+    def fly(batches: Iterator[pa.RecordBatch], step: int, landing: bool = False) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
         plans, strata, dice = t["plan_id"].to_pylist(), t["strata"].to_pylist(), t["dice"].to_numpy()
+        # High bits order the units; the chance of a move comes from the low ones, turned at each step.
+        chance = np.modf(np.modf(dice * 2**26)[0] + step * 0.6180339887498949)[0]
         combos: dict[tuple, int] = {}
         groups = np.array([combos.setdefault((p, *s), len(combos)) for p, s in zip(plans, strata)])
         z = t["z"].to_numpy()
@@ -143,7 +140,7 @@ def balanced_sample(df: DataFrame, key: str, measures: tuple[str, ...], targets:
         order = np.argsort(dice, kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(order.size)
-        z = flight(z[order], groups[order], dice[order])[back]
+        z = flight(z[order], groups[order], chance[order])[back]
         open_ = np.flatnonzero((z > NEAR) & (z < 1 - NEAR))
         if any(len(k) > 2 for k in combos) and open_.size > 1:
             rows = {k: i for i, k in enumerate(sorted({(k[0], s) for k in combos for s in k[1:]}))}
@@ -152,16 +149,17 @@ def balanced_sample(df: DataFrame, key: str, measures: tuple[str, ...], targets:
             for i, u in enumerate(open_):
                 k = names[groups[u]]
                 ind[i, [rows[k[0], s] for s in k[1:]]] = 1
-            z[open_] = flight_across(z[open_], ind, dice[open_])
+            z[open_] = flight_across(z[open_], ind, chance[open_])
         if landing:
-            z = np.where((z > NEAR) & (z < 1 - NEAR), (np.modf(dice * 7919)[0] < z).astype(float), z)
+            z = np.where((z > NEAR) & (z < 1 - NEAR), (np.modf(chance + 0.5)[0] < z).astype(float), z)
         yield from t.set_column(t.schema.get_field_index("z"), "z", pa.array(z)).to_batches()
 
     dice = (F.pmod(F.xxhash64(F.lit(seed), "plan_id", "key"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("dice")
     state = units.select("plan_id", "key", "strata", dice, F.lit(float("nan")).alias("z"))
     schema = f"plan_id bigint, key {kind}, strata array<bigint>, dice double, z double"
     parts = max(1, state.rdd.getNumPartitions())
-    flown = cut(state.mapInArrow(fly, schema), "flight")
+    step = 0
+    flown = cut(state.mapInArrow(lambda it: fly(it, 0), schema), "flight")
     undecided = f"z > {NEAR} and z < {1 - NEAR}"
     decided, rest = flown.where(f"not ({undecided})"), flown.where(undecided)
     while parts > 1:
@@ -169,9 +167,10 @@ def balanced_sample(df: DataFrame, key: str, measures: tuple[str, ...], targets:
         up = rest.repartition(parts, F.pmod(F.xxhash64("dice"), F.lit(parts)))
         if parts == 1:
             break
-        flown = cut(up.mapInArrow(fly, schema), "flight")
+        step += 1
+        flown = cut(up.mapInArrow(lambda it, k=step: fly(it, k), schema), "flight")
         decided, rest = decided.unionByName(flown.where(f"not ({undecided})")), flown.where(undecided)
-    landed = rest.repartition(1).mapInArrow(lambda it: fly(it, landing=True), schema)
+    landed = rest.repartition(1).mapInArrow(lambda it: fly(it, step + 1, landing=True), schema)
     sample = cut(decided.unionByName(landed).where("z > 0.5").select("plan_id", F.col("key").alias(key), "strata"), "sample")
     drawn = {(r[0], r[1]): r[2] for r in sample.select("plan_id", F.explode("strata").alias("s")).groupBy("plan_id", "s").count().collect()}
     sizes: dict[int, int] = {}
