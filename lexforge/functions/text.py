@@ -118,7 +118,7 @@ def strip_lemma(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Consonants only: every mark from U+0591 to U+05C7 dropped, maqaf included."""
-    return F.btrim(F.regexp_replace(c, "[\\x{0591}-\\x{05c7}]", ""), F.lit(" "))
+    return F.btrim(F.translate(c, "".join(map(chr, range(0x591, 0x5C8))), ""), F.lit(" "))
 
 
 def bare_sql(c: str) -> str:
@@ -136,7 +136,7 @@ def words_sql(c: str) -> str:
 
 def vocalized(c: Column) -> Column:
     """Like ``words``, accents dropped and points kept."""
-    return F.transform(words(c), lambda t: F.regexp_replace(t, "[\\x{0591}-\\x{05af}]", ""))
+    return words(F.translate(c, "".join(map(chr, range(0x591, 0x5B0))), ""))
 
 
 def straight(c: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import clean_variant, clean_variant_sql, normalize, normalize_sql
@@ -143,33 +143,50 @@ def fold_vowels_sql(token: str) -> str:
     return f"regexp_replace(translate({token}, '{PLAIN_FROM}', '{PLAIN_TO}'), '[^ -~]', '', 'g')"
 
 
-def features(asked: DataFrame, found: DataFrame, post: DataFrame, key: str) -> DataFrame:
-    """(qid, key, qtoken, field, tier, refine): the best match of each query token in each field.
+def features(found: DataFrame, post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(qtoken, key, m_<field>): the best (tier, refine) of each query token in each field of a record.
 
-    ``asked`` has (qid, qtoken); ``found`` comes from ``token_matches``.
+    Made once for each distinct query token, however many queries share it; one shuffle.
     """
-    hits = asked.join(found, "qtoken").join(post.select(key, "field", "token"), "token")
-    return hits.groupBy("qid", key, "qtoken", "field").agg(F.max(F.struct("tier", "refine")).alias("m")).select("qid", key, "qtoken", "field", "m.tier", "m.refine")
+    hits = found.join(post.select(key, "field", "token"), "token")
+    best = [F.max(F.when(F.col("field") == f, F.struct("tier", "refine"))).alias(f"m_{f}") for f in fields]
+    return hits.groupBy("qtoken", key).agg(*best)
 
 
-def scores(feats: DataFrame, covered: DataFrame, key: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """(qid, key, score) from features and ``covered`` (qid, key, coverage)."""
-    weight = F.create_map(*[F.lit(x) for kv in options.fields.items() for x in kv])
+def totals(asked: DataFrame, feats: DataFrame, key: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(qid, key, s): the sum over a query's tokens of each one's best field."""
     refine = F.when(F.col("qtoken").rlike("[a-z]"), options.refine_latin).otherwise(options.refine_other)
-    best = feats.withColumn("s", weight[F.col("field")] * F.col("tier") + refine * F.col("refine")).groupBy("qid", key, "qtoken").agg(F.max("s").alias("s"))
-    total = best.groupBy("qid", key).agg(F.sum("s").alias("s"))
-    return total.join(covered, ["qid", key], "left").select("qid", key, F.round(F.col("s") + options.coverage * F.coalesce("coverage", F.lit(0.0)), 6).alias("score"))
+    each = [w * F.col(f"m_{f}.tier") + refine * F.col(f"m_{f}.refine") for f, w in options.fields.items()]
+    scored = feats.select("qtoken", key, (F.greatest(*each) if len(each) > 1 else each[0]).alias("s")).where("s is not null")
+    return asked.join(scored, "qtoken").groupBy("qid", key).agg(F.sum("s").alias("s"))
+
+
+def contenders(total: DataFrame, key: str, most: float, limit: int) -> DataFrame:
+    """The rows of each query that can still be among its best ``limit`` if up to ``most`` is added to each: none that can is lost."""
+    w = Window.partitionBy("qid").orderBy(F.desc("s"), key)
+    bar = total.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).groupBy("qid").agg(F.min("s").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return total.join(bar, "qid").where((F.col("_n") < limit) | (F.col("s") >= F.col("_s") - most)).drop("_s", "_n")
+
 
+def coverage(rows: DataFrame, asked: DataFrame, found: DataFrame, post: DataFrame, key: str, lemma: str = "dh") -> DataFrame:
+    """(qid, key, coverage) for ``rows`` (qid, key): the share of the lemma's tokens that some query token matched."""
+    matched = asked.join(found.select("qtoken", "token"), "qtoken").select("qid", "token").distinct()
+    tokens_of = rows.select("qid", key).join(post.where(F.col("field") == lemma).select(key, "token", "n", "size"), key)
+    return tokens_of.join(matched, ["qid", "token"]).groupBy("qid", key).agg((F.sum("n") / F.first("size")).alias("coverage"))
 
-def coverage(asked: DataFrame, found: DataFrame, post: DataFrame, key: str, lemma: str = "dh") -> DataFrame:
-    """(qid, key, coverage): the share of the lemma's tokens that some query token matched."""
-    hits = asked.join(found.select("qtoken", "token"), "qtoken").join(post.where(F.col("field") == lemma).select(key, "token", "n", "size"), "token")
-    each = hits.select("qid", key, "token", "n", "size").distinct()
-    return each.groupBy("qid", key).agg((F.sum("n") / F.first("size")).alias("coverage"))
+
+def scores(total: DataFrame, covered: DataFrame, key: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(qid, key, score) from token totals and coverage."""
+    return total.join(covered, ["qid", key], "left").select("qid", key, F.round(F.col("s") + options.coverage * F.coalesce("coverage", F.lit(0.0)), 6).alias("score"))
 
 
-def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """(qid, key, score) of every record that matches some token of each query."""
-    vocabulary = post.select("token", "fkey").distinct()
-    found = token_matches(asked, vocabulary, options)
-    return scores(features(asked, found, post, key), coverage(asked, found, post, key), key, options)
+def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions(), limit: int | None = None) -> DataFrame:
+    """(qid, key, score) of the records that match some token of each query.
+
+    With ``limit`` only those that can be among a query's best so many; coverage, worth
+    ``options.coverage`` at most, is then worked out for these alone.
+    """
+    found = token_matches(asked, post.select("token", "fkey").distinct(), options)
+    total = totals(asked, features(found, post, key, tuple(options.fields)), key, options)
+    rows = contenders(total, key, options.coverage, limit) if limit else total
+    return scores(rows, coverage(rows, asked, found, post, key), key, options)

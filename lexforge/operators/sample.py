@@ -70,11 +70,27 @@ def lookahead(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
 
 
 def aligned(lemma: Column, first: Column, second: Column, skeleton) -> Column:
-    """For each lemma token the first of ``first`` with an equal skeleton, else of ``second``; null if some token has none."""
+    """For each lemma token the first of ``first`` with an equal skeleton, else of ``second``.
 
-    def find(t: Column) -> Column:
-        same = lambda x: skeleton(x) == t
-        return F.coalesce(F.get(F.filter(first, same), F.lit(0)), F.get(F.filter(second, same), F.lit(0)))
+    An array of one such array, or of none if some token has no match: exploded, it drops
+    the record without working the expression out again in a filter.
 
-    found = F.transform(lemma, find)
-    return F.when(~F.exists(found, lambda x: x.isNull()), found)
+    The skeletons of each array come from its joined text, once, and are then found by
+    position; tokens hold no line break.
+    """
+
+    def folded(a: Column) -> Column:
+        return F.split(skeleton(F.array_join(a, "\n")), "\n")
+
+    fs, ss = folded(first), folded(second)
+
+    def found(x: Column) -> Column:
+        def at(keys: str, values: str, t: Column) -> Column:
+            return F.get(x[values], F.array_position(x[keys], t).cast("int") - 1)
+
+        return F.transform(x["lemma"], lambda t: F.coalesce(at("fs", "first", t), at("ss", "second", t)))
+
+    # The arrays are bound to a lambda's variable, so that each is worked out once a row and not once a token.
+    bound = F.array(F.struct(lemma.alias("lemma"), first.alias("first"), second.alias("second"), folded(first).alias("fs"), folded(second).alias("ss")))
+    whole = F.get(F.transform(bound, found), F.lit(0))
+    return F.filter(F.array(whole), lambda a: ~F.exists(a, lambda y: y.isNull()))

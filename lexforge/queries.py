@@ -12,6 +12,7 @@ from lexforge.functions import text as X
 from lexforge.functions import translit as T
 from lexforge.operators import evaluate, index, ingest, nested, resolve, sample, search
 from lexforge.plans import parse
+from lexforge.plans.lineage import cut
 from lexforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,7 +459,7 @@ def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, base: str) -> DataFrame:
-    found = index.batch_search(_asked(spark, base), _posted(spark, base, "dh"), "rec_id", index.SearchOptions(fields={"dh": 3.0}))
+    found = index.batch_search(_asked(spark, base), _posted(spark, base, "dh"), "rec_id", index.SearchOptions(fields={"dh": 3.0}), evaluate.LIMIT)
     return search.top_by(found, "qid", "score", "rec_id", evaluate.LIMIT)
 
 
@@ -524,10 +525,12 @@ def weight_sweep(spark: SparkSession, base: str) -> DataFrame:
     asked, post, gold = _asked(spark, base), _posted(spark, base, "dh"), _gold(spark, base)
     options = index.SearchOptions(fields={"dh": 3.0})
     found = index.token_matches(asked, post, options)
-    feats, covered = index.features(asked, found, post, "rec_id"), index.coverage(asked, found, post, "rec_id")
+    feats = cut(index.features(found, post, "rec_id", ("dh",)), "features")
     parts = []
     for cover, latin in SWEEP:
-        hits = search.top_by(index.scores(feats, covered, "rec_id", index.SearchOptions(fields={"dh": 3.0}, coverage=cover, refine_latin=latin)), "qid", "score", "rec_id", evaluate.LIMIT)
+        weights = index.SearchOptions(fields={"dh": 3.0}, coverage=cover, refine_latin=latin)
+        rows = index.contenders(index.totals(asked, feats, "rec_id", weights), "rec_id", cover, evaluate.LIMIT)
+        hits = search.top_by(index.scores(rows, index.coverage(rows, asked, found, post, "rec_id"), "rec_id", weights), "qid", "score", "rec_id", evaluate.LIMIT)
         ranks = gold.select("qid").join(evaluate.target_ranks(hits, gold.select("qid", "target")), "qid", "left")
         parts.append(ranks.agg(*evaluate.metrics()).select(F.lit(cover).alias("coverage"), F.lit(latin).alias("refine"), "*"))
     whole = parts[0]
@@ -581,7 +584,7 @@ def _vocalized(spark: SparkSession, base: str, *keep: str) -> DataFrame:
     df = table(spark, base, "rashi", "rec_id", *keep, "dh", "t", "vt")
     tokens = F.filter(X.words(F.col("dh")), X.usable)
     found = sample.aligned(F.transform(tokens, lambda t: X.bare(X.no_trailing_marks(t))), X.vocalized(F.col("vt")), X.vocalized(F.col("t")), X.bare)
-    return df.where(F.size(tokens) >= 1).select("rec_id", *keep, found.alias("m"), F.size(tokens).alias("dh_words")).where("m is not null")
+    return df.where(F.size(tokens) >= 1).select("rec_id", *keep, F.explode(found).alias("m")).withColumn("dh_words", F.size("m"))
 
 
 @query(f"SELECT rec_id, array_to_string(m, ' ') AS vocalized FROM ({ALIGNED}) WHERE len(list_filter(m, lambda x: x IS NULL)) = 0")
