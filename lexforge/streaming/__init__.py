@@ -1 +1 @@
-"""lexforge.streaming"""
+"""Incremental postings: shards are indexed as they arrive."""
