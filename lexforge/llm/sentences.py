@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.plain import tables
 from lexforge.plans.lineage import cut
 
 # Stops that are always stops, by script (Latin and others; Hebrew;
@@ -47,7 +48,9 @@ NO_BLANKS = re.compile("[぀-ヿ㐀-鿿ก-๎ກ-ໍ]")
 # Signs that leave no trace; looked through when the next sign is sought.
 UNSEEN = frozenset("­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿")
 # Hebrew points and accents, dropped from tokens.
-POINTS = dict.fromkeys([*range(0x591, 0x5BE), 0x5BF, 0x5C1, 0x5C2, 0x5C4, 0x5C5, 0x5C7, *map(ord, UNSEEN)])
+POINTS = (*range(0x591, 0x5BE), 0x5BF, 0x5C1, 0x5C2, 0x5C4, 0x5C5, 0x5C7)
+#: Tokens are compared without points and unseen signs, and with compatibility forms as ordinary letters.
+PLAIN = {ord(k): v for k, v in tables()[0].items()} | dict.fromkeys([*POINTS, *map(ord, UNSEEN)])
 
 _PAIRS = QUOTES | BRACKETS
 _CLOSERS = frozenset(_PAIRS.values())
@@ -82,11 +85,23 @@ def _next(t: str, i: int, end: int) -> tuple[str, int, bool]:
     return "", end, blank
 
 
+def _seen(t: str, i: int) -> str:
+    """The next sign seen from i on within the line, or ""."""
+    while i < len(t):
+        ch = t[i]
+        if ch in BREAKS:
+            return ""
+        if not ch.isspace() and ch not in UNSEEN:
+            return ch
+        i += 1
+    return ""
+
+
 def _token(t: str, at: int, low: int) -> str:
     """The run of letters and the like right before ``at``, without points; "" if too long for an abbreviation."""
     low = max(low, at - 3 * LONGEST)
     m = _TOKEN.search(t[max(low, t.rfind(" ", low, at) + 1) : at])
-    return m[0].translate(POINTS) if m else ""
+    return m[0].translate(PLAIN) if m else ""
 
 
 def _kind(ch: str) -> str:
@@ -101,12 +116,7 @@ def evidence(texts: Iterator[str]) -> Counter:
             for m in _DOT.finditer(t):
                 token = _token(t, m.start(), 0)
                 if 0 < len(token) <= LONGEST and not token[-1].isdigit():
-                    j = m.end()
-                    ch = t[j : j + 1]
-                    if ch in (" ", "") or ch.isspace() or ch in UNSEEN:
-                        line = _LINES.match(t, j)
-                        ch, _, _ = _next(t, j, line.end() if line else j)
-                    found[token, _kind(ch)] += 1
+                    found[token, _kind(_seen(t, m.end()))] += 1
         if not t.isupper() and not t.islower() and (names := _SHORT.findall(t)):
             found.update((x, "bare") for x in names)
     return found

@@ -22,6 +22,7 @@ CASES = [
     ["היה אל \"טטיו ישתד? דלרפו.\" טקאו תצזן?", "סוף"],
     ["אמר רזך \"על את ותך.\"", "תדע זה טפס"],
     ["דף 26.39 זה פר. 26 של.", "כי 10:55 וכו'.", "לא"],
+    ["כי לא ﬤן פﬧ. 51 של.", "סוף"],
     ["זה ד\"ה היה ע\"פ לח׃", "עד כי"],
     ["这个字说明了原因。", "下一行「前章。这个。」提到城门3.5。"],
     ["ครูคนนั้นตอบ4.6", "บทก่อนยังไม่จบ"],
