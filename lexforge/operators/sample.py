@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.plans.ranking import numbered
+
 
 def dice(seed: int, key: Column) -> Column:
     """A hash that orders a sample alike however the data is partitioned."""
@@ -15,7 +17,8 @@ def terciles(df: DataFrame, popularity: str, key: str, per: str) -> DataFrame:
     """With ``tier`` 0 (high) to 2: thirds of ceil(n / 3) by popularity within each ``per``.
 
     Counts of equal popularity are summed first, so the window runs over distinct
-    values; the rows of a value that a border cuts are told apart by their key.
+    values; the rows of a value that a border cuts are numbered by key across
+    partitions, however many share the value.
     """
     pop = F.coalesce(F.col(popularity), F.lit(0))
     levels = df.groupBy(F.col(per).alias("_per"), pop.alias("_pop")).agg(F.count(F.lit(1)).alias("_n"))
@@ -23,7 +26,7 @@ def terciles(df: DataFrame, popularity: str, key: str, per: str) -> DataFrame:
     ranked = levels.withColumns({"_before": F.sum("_n").over(w.orderBy(F.desc("_pop"))) - F.col("_n"), "_third": F.ceil(F.sum("_n").over(w) / 3)})
     whole = F.floor(F.col("_before") / F.col("_third")) == F.floor((F.col("_before") + F.col("_n") - 1) / F.col("_third"))
     joined = df.join(ranked, (F.col(per).eqNullSafe(F.col("_per"))) & (pop == F.col("_pop")))
-    cut = joined.where(~whole).withColumn("_r", F.row_number().over(Window.partitionBy("_per", "_pop").orderBy(key)))
+    cut = numbered(joined.where(~whole), ["_per", "_pop"], key, "_r")
     sure = joined.where(whole).withColumn("_r", F.lit(1))
     return sure.unionByName(cut).withColumn("tier", F.floor((F.col("_before") + F.col("_r") - 1) / F.col("_third")).cast("int")).drop("_per", "_pop", "_n", "_before", "_third", "_r")
 
