@@ -52,7 +52,7 @@ class Targets:
 
 
 def mix_targets_of(df: DataFrame) -> Targets:
-    """From (mix_id, source, weight, max_repeats, budget_tokens); at most 10,000 rows.
+    """From (mix_id, source, weight, max_repeats, budget_tokens); at most 10,000 rows and 1,000 sources.
 
     Rows without mix or source are left out; a null or negative weight counts as 0, a
     null max_repeats as 1; of a source named twice in a mix the weights add up.
@@ -61,6 +61,8 @@ def mix_targets_of(df: DataFrame) -> Targets:
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 mix targets")
     mixes, sources = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    if len(sources) > 1_000:
+        raise ValueError("more than 1,000 sources")
     shape = (len(mixes), len(sources))
     member, weight, repeats, budget = np.zeros(shape, bool), np.zeros(shape), np.ones(shape), np.zeros(shape)
     for m, s, w, k, b in rows:
