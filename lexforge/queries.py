@@ -269,6 +269,15 @@ def shard_manifest(spark: SparkSession, base: str) -> DataFrame:
     return ingest.manifest(table(spark, base, "rashi", "b")).select("b", "n_records", "is_total", "file")
 
 
+@query("""SELECT fol_id, CASE WHEN b = (SELECT min(b) FROM folio) THEN 'by another hand' WHEN b = (SELECT max(b) FROM folio) AND (d > 2 OR d = 2 AND a >= 2 OR coalesce(cx, 0) = 1) THEN 'continued' END AS note FROM folio""")
+def authorship_notes(spark: SparkSession, base: str) -> DataFrame:
+    """RES6, JN4: a note on a whole book, and one from a place on or by provenance."""
+    df = table(spark, base, "folio", "fol_id", "b", "d", "a", "cx")
+    first, last = df.agg(F.min("b"), F.max("b")).first()
+    notes = spark.createDataFrame([(first, "by another hand", None, None), (last, "continued", 2, 2)], "b string, note string, from_d int, from_a int")
+    return ingest.with_note(df, notes).select("fol_id", "note")
+
+
 @query("SELECT b, min(rec_id) AS first_at, arg_min(bh, rec_id) AS bh FROM rashi GROUP BY b")
 def first_seen_dims(spark: SparkSession, base: str) -> DataFrame:
     """AGG3, UI1's dimension."""
