@@ -13,7 +13,7 @@ Plain spelling:
 * Hebrew letters stand apart from their points, which come in canonical order;
 * accented Latin and Cyrillic letters are single characters;
 * every blank but line breaks is U+0020;
-* characters without a trace of their own are gone;
+* characters without a trace of their own are gone, control characters among them;
 * a word that mixes Latin, Cyrillic and Greek letters gets the script of most of its
   letters, as far as look-alikes exist.
 
@@ -43,6 +43,9 @@ a а α|c с -|d ԁ -|e е -|h һ -|i і ι|j ј -|k к κ|m м -|n п -|o о ο
 # Characters that leave no trace of their own beside those of category Cf.
 TRACELESS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
+# Control characters but the tab, which is a blank, and line breaks.
+CONTROLS = (*range(0x01, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0))
+
 # Kinds of compatibility form that look like the ordinary letter.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<compat>")
 
@@ -59,7 +62,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], str, str]:
     """(single-letter forms, forms of several letters, blanks, traceless)."""
     one: dict[str, str] = {}
     many: dict[str, str] = dict(DIGRAPHS)
-    blanks, gone = ["\t", " "], list(TRACELESS) + [chr(c) for c in (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))]
+    blanks, gone = ["\t", " "], list(TRACELESS) + [chr(c) for c in (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *CONTROLS)]
     for cp in (*range(0x80, 0xD800), *range(0xE000, LAST), *range(0xE0001, 0xE0080)):
         ch = chr(cp)
         kind = unicodedata.category(ch)

@@ -103,7 +103,7 @@ def test_empty_tables(spark):
 CASES = [
     ("Ｂｕｙｅf 𝟓𝟎.𝟐", "Buyef 50.2"), ("Le mantеаu", "Le manteau"), ("Привeт мир", "Привет мир"), ("רצװשתץ ﭏ ℵ ﬡ", "רצוושתץ אל א א"), ("שׁ", "שׁ"), ("אּ֖", None),
     ("é cοntre", "é contre"), ("a b​c d\te", "a bc d e"), ("й", "й"), ("טֶּ", "טֶּ"), ("בֶ͏ג", "בֶג"), ("line\nline", "line\nline"), ("…！“x” –", "…！“x” –"),
-    ("ทำ ｶ ① x²", "ทำ カ ① x²"), ("ﬁn Ⅳ", "fin IV"), ("この語は「井戸」", "この語は「井戸」"), ("", ""), ("dא", "dא"), ("שלום‏", "שלום"),
+    ("ทำ ｶ ① x²", "ทำ カ ① x²"), ("ﬁn Ⅳ", "fin IV"), ("この語は「井戸」", "この語は「井戸」"), ("", ""), ("dא", "dא"), ("שלום‏", "שלום"), ("a\x01b\x7f\u2028c", "ab\u2028c"),
 ]
 
 
