@@ -180,13 +180,14 @@ def scores(total: DataFrame, covered: DataFrame, key: str, options: SearchOption
     return total.join(covered, ["qid", key], "left").select("qid", key, F.round(F.col("s") + options.coverage * F.coalesce("coverage", F.lit(0.0)), 6).alias("score"))
 
 
-def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions(), limit: int | None = None) -> DataFrame:
+def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions(), limit: int | None = None, boost: float = 0.0) -> DataFrame:
     """(qid, key, score) of the records that match some token of each query.
 
-    With ``limit`` only those that can be among a query's best so many; coverage, worth
-    ``options.coverage`` at most, is then worked out for these alone.
+    With ``limit`` only those that can be among a query's best so many, though up to
+    ``boost`` is still to be added; coverage, worth ``options.coverage`` at most, is then
+    worked out for these alone.
     """
     found = token_matches(asked, post.select("token", "fkey").distinct(), options)
     total = totals(asked, features(found, post, key, tuple(options.fields)), key, options)
-    rows = contenders(total, key, options.coverage, limit) if limit else total
+    rows = contenders(total, key, options.coverage + boost, limit) if limit else total
     return scores(rows, coverage(rows, asked, found, post, key), key, options)

@@ -463,7 +463,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s
 
 @query(RANKED + " SELECT qid, rec_id, score FROM hits")
 def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
-    """FTX5, FTX6, SRT1: every stored query against the lemmas, the best 60 each."""
+    """FTX5, SRT1: every stored query against the lemmas alone, without boosts, the best 60 each; ``full_text_topk`` has all fields."""
     return _hits(spark, base)
 
 
@@ -472,6 +472,35 @@ def _hits(spark: SparkSession, base: str) -> DataFrame:
     return search.top_by(found, "qid", "score", "rec_id", evaluate.LIMIT)
 
 
+FIELDS = ("dh", "t", "vt")
+#: The most that popularity adds. Stored queries belong to no week, so there is no boost by week.
+BOOST = 50.0
+
+
+def _boosted(spark: SparkSession, base: str, found: DataFrame) -> DataFrame:
+    """``found`` with the popularity boost in its scores."""
+    links = table(spark, base, "rashi", "rec_id", "lk").groupBy("rec_id").agg(F.max("lk").alias("lk"))
+    return found.join(links, "rec_id").select("qid", "rec_id", F.round(F.col("score") + N.pop_boost(F.col("lk")), 6).alias("score"))
+
+
+def _full_hits(spark: SparkSession, base: str) -> DataFrame:
+    found = index.batch_search(_asked(spark, base), _posted(spark, base, *FIELDS), "rec_id", index.SearchOptions(), evaluate.LIMIT, BOOST)
+    return search.top_by(_boosted(spark, base, found), "qid", "score", "rec_id", evaluate.LIMIT)
+
+
+@query()
+def full_text_exact(spark: SparkSession, base: str) -> DataFrame:
+    """FTX2: how many tokens of a query each field of a record has by equal keys."""
+    asked = _asked(spark, base).withColumn("fkey", index.fold(F.col("qtoken"))).where("fkey <> ''")
+    return asked.join(_posted(spark, base, *FIELDS), "fkey").groupBy("qid", "rec_id", "field").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query()
+def full_text_topk(spark: SparkSession, base: str) -> DataFrame:
+    """FTX5, FTX6, SRT1: every stored query against lemma, body and verse, boosted by popularity, the best 60 each; queries aren't parsed."""
+    return _full_hits(spark, base)
+
+
 # ---- evaluation (AGG4-AGG7, AGG12, WIN1, JN9, SRT3, EVL3-EVL6) ----
 
 GOLD = """SELECT q.id AS qid, min(r.rec_id) AS target, min(q.style) AS style, min(lower(trim(q.variant))) AS variant, min(q.dhWords) AS dhWords FROM queries_partial q
@@ -495,14 +524,14 @@ def gold_join(spark: SparkSession, base: str) -> DataFrame:
     return _gold(spark, base)
 
 
-def _results(spark: SparkSession, base: str) -> DataFrame:
+def _results(spark: SparkSession, base: str, hits: Callable[[SparkSession, str], DataFrame] = _hits) -> DataFrame:
     gold = _gold(spark, base)
-    return gold.join(evaluate.target_ranks(_hits(spark, base), gold.select("qid", "target")), "qid", "left").withColumn("bucket", N.word_bucket(F.col("dhWords")))
+    return gold.join(evaluate.target_ranks(hits(spark, base), gold.select("qid", "target")), "qid", "left").withColumn("bucket", N.word_bucket(F.col("dhWords")))
 
 
 @query(f"{RANKED} SELECT qid, rank, tie FROM ({RESULTS})")
 def competition_rank(spark: SparkSession, base: str) -> DataFrame:
-    """AGG7, WIN1, EVL3."""
+    """AGG7, WIN1: ranks among ``coverage_score_topk``."""
     return _results(spark, base).select("qid", "rank", "tie")
 
 
@@ -519,6 +548,24 @@ def worst_k(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.worst(_results(spark, base)).select("qid", "rank", "tie")
 
 
+@query()
+def full_text_rank(spark: SparkSession, base: str) -> DataFrame:
+    """AGG7, WIN1, EVL3 but for parsing: ranks among ``full_text_topk``."""
+    return _results(spark, base, _full_hits).select("qid", "rank", "tie")
+
+
+@query()
+def full_text_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """AGG4, AGG5, AGG6, EVL4, NUM3."""
+    return evaluate.by_groups(_results(spark, base, _full_hits), "style", "variant", "bucket")
+
+
+@query()
+def full_text_worst(spark: SparkSession, base: str) -> DataFrame:
+    """SRT3, EVL5."""
+    return evaluate.worst(_results(spark, base, _full_hits)).select("qid", "rank", "tie")
+
+
 @query("SELECT CAST(max(length(b)) AS INT) AS b, CAST(max(length(p)) AS INT) AS p, CAST(max(length(CAST(c AS VARCHAR))) AS INT) AS c FROM rashi")
 def column_widths(spark: SparkSession, base: str) -> DataFrame:
     """AGG12."""
@@ -531,15 +578,15 @@ SWEEP = ((10.0, 10.0), (20.0, 10.0), (20.0, 40.0), (30.0, 10.0))
 @query()
 def weight_sweep(spark: SparkSession, base: str) -> DataFrame:
     """EVL6, AGG11: metrics for several weights from one feature table."""
-    asked, post, gold = _asked(spark, base), _posted(spark, base, "dh"), _gold(spark, base)
-    options = index.SearchOptions(fields={"dh": 3.0})
-    found = index.token_matches(asked, post, options)
-    feats = cut(index.features(found, post, "rec_id", ("dh",)), "features")
+    asked, post, gold = _asked(spark, base), _posted(spark, base, *FIELDS), _gold(spark, base)
+    found = index.token_matches(asked, post)
+    feats = cut(index.features(found, post, "rec_id", FIELDS), "features")
     parts = []
     for cover, latin in SWEEP:
-        weights = index.SearchOptions(fields={"dh": 3.0}, coverage=cover, refine_latin=latin)
-        rows = index.contenders(index.totals(asked, feats, "rec_id", weights), "rec_id", cover, evaluate.LIMIT)
-        hits = search.top_by(index.scores(rows, index.coverage(rows, asked, found, post, "rec_id"), "rec_id", weights), "qid", "score", "rec_id", evaluate.LIMIT)
+        weights = index.SearchOptions(coverage=cover, refine_latin=latin)
+        rows = index.contenders(index.totals(asked, feats, "rec_id", weights), "rec_id", cover + BOOST, evaluate.LIMIT)
+        scored = index.scores(rows, index.coverage(rows, asked, found, post, "rec_id"), "rec_id", weights)
+        hits = search.top_by(_boosted(spark, base, scored), "qid", "score", "rec_id", evaluate.LIMIT)
         ranks = gold.select("qid").join(evaluate.target_ranks(hits, gold.select("qid", "target")), "qid", "left")
         parts.append(ranks.agg(*evaluate.metrics()).select(F.lit(cover).alias("coverage"), F.lit(latin).alias("refine"), "*"))
     whole = parts[0]
@@ -675,7 +722,7 @@ def smart_search(spark: SparkSession, base: str) -> DataFrame:
     """PRS1-PRS9, RES1: a located free-text query through parser, hypothesis check and search."""
     names = names_of(spark, base)
     rows = search.search_columns(table(spark, base, "rashi"))
-    post = _posted(spark, base, "dh", "t")
+    post = _posted(spark, base, *FIELDS)
     book = next(iter(names.books.values()))
 
     def run(q) -> DataFrame:
