@@ -61,6 +61,7 @@ _SHORT = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я][^\W\d_]{0,2}(?![\w.'
 _BLANK = re.compile(rf"(?<=[{BLANK_ENDS}\d])\s+(?=[{BLANK_ENDS}])")
 _THAI = re.compile(f"[{BLANK_ENDS}]")
 _TOKEN = re.compile(r"[^\s.…．!?؟।。׃\"«»“”„‹›()\[\]{}<>,;:]+$")
+_UNDOTTED = re.compile(r"[^\s.…．!?؟।。׃\"«»“”„‹›()\[\]{}<>,;:]+(?![^\s.…．!?؟।。׃\"«»“”„‹›()\[\]{}<>,;:]|\.)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _AMID = re.compile(r"(?<=[\w,;] )[^\W\d_a-zа-яё][^\W\d_]*(?:['’-][^\W\d_]+)*")
 _INNER = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + r"]+(?=\s|[^\W\d_])")
@@ -145,19 +146,23 @@ class Document:
     def __init__(self, text: str):
         self.text = text
         self._abbreviated: Counter | None = None
+        self._ended: frozenset = frozenset()
+        self._plain: frozenset | None = None
         self._bare: frozenset = frozenset()
         self._small: frozenset = frozenset()
         self._capital: Counter = Counter()
 
     def _gather(self) -> None:
-        t, found = self.text, Counter()
+        t, found, ended = self.text, Counter(), set()
         for m in _DOT.finditer(t):
             ch = t[m.end() : m.end() + 1]
             if ch.isspace():
                 ch = t[m.end() + 1 : m.end() + 2]
             if ch in (",", ";") or ch.isdigit() or ch.islower():
                 found[_token(t, m.start(), 0)] += 1
-        self._abbreviated = found
+            elif not _seen(t, m.end()):
+                ended.add(_token(t, m.start(), 0))
+        self._abbreviated, self._ended = found, frozenset(ended)
         self._small = frozenset(w for w in _WORD.findall(t) if w[0].islower())
         self._capital = Counter(_AMID.findall(t))
         self._bare = frozenset(_SHORT.findall(t))
@@ -168,6 +173,18 @@ class Document:
             self._gather()
         return self._abbreviated[token] > here
 
+    def ended(self, token: str) -> bool:
+        """The token's stop also ends a line of the text."""
+        if self._abbreviated is None:
+            self._gather()
+        return token in self._ended
+
+    def plain(self, token: str) -> bool:
+        """The text also has the token, of any script, as a word without a stop."""
+        if self._plain is None:
+            self._plain = frozenset(m[0].translate(PLAIN) for m in _UNDOTTED.finditer(self.text))
+        return token in self._plain
+
     def bare(self, token: str) -> bool:
         """The text also has the short token without a stop."""
         if self._abbreviated is None:
@@ -207,6 +224,8 @@ class Splitter:
         if kind == "dig":
             return not (token in self.reference or token in self.opened or doc.abbreviated(token, True)) and (blank or len(token) > 1)
         if kind == "let":
+            if doc.abbreviated(token, False) and not doc.ended(token) and not doc.plain(token) or token in self.opened:
+                return False
             return blank or len(token) > 1
         if token in self.opened:
             return False

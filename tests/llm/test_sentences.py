@@ -75,3 +75,16 @@ def test_corpus_counts_everything(spark):
     df = spark.createDataFrame([(f"It was Dr. Abc{i} there, etc. and so on. He left, etc.",) for i in range(30)], "t string")
     opened, _, closing = corpus_lexicon(df, "t")
     assert "Dr" in opened and "etc" in closing
+
+
+def cut_up(text, split=SPLIT):
+    return [text[a:b] for a, b in split.spans(text)]
+
+
+def test_abbreviations_of_scripts_without_capitals(spark):
+    assert cut_up("אמר ר. יוחנן כי. לא", Splitter(frozenset(["ר"]))) == ["אמר ר. יוחנן כי.", "לא"]
+    assert cut_up("זה עמ. 26 או עמ. 7 של עמ. רבי לא. כי", Splitter()) == ["זה עמ. 26 או עמ. 7 של עמ. רבי לא.", "כי"]
+    assert cut_up("זה בית. 26 של בית. רבי בית לא", Splitter()) == ["זה בית.", "26 של בית.", "רבי בית לא"]
+    df = spark.createDataFrame([("אמר ר. יוחנן מלה.",) for _ in range(40)], "t string")
+    opened, _, _ = corpus_lexicon(df, "t")
+    assert cut_up("אמר ר. יוחנן", Splitter(opened)) == ["אמר ר. יוחנן"]
