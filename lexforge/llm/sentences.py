@@ -71,6 +71,8 @@ _INNER = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + r"]+(?=\s|[^\W\d_
 #: data, so the lexicon may be sent to every task.
 SUPPORT = 1e-5
 LONGEST = 16
+#: A token that never closes has this part of the share of ends that all stops have (counted as 0.1 at most); one that closes has this share at ends and before small letters each.
+RARELY, OFTEN = 0.1, 0.02
 
 
 def _next(t: str, i: int, end: int) -> tuple[str, int, bool]:
@@ -123,19 +125,25 @@ def evidence(texts: Iterator[str]) -> Counter:
     return found
 
 
+def _divergence(p: float, base: float) -> float:
+    """Of shares p from base: exp(-n * divergence) bounds the chance that n draws have a share of p or less."""
+    return (p * math.log(p / base) if p else 0.0) + (1 - p) * math.log((1 - p) / (1 - base))
+
+
 def lexicon(counted: list[tuple[str, int, int, int, int, int, int, int]]) -> tuple[frozenset, frozenset, frozenset]:
     """(open, reference, closing) abbreviations from rows of (token, end, low, up, dig, let, oth, bare)."""
     ends = sum(r[1] for r in counted)
-    base = min(0.5, max(0.02, ends / max(1, sum(sum(r[1:7]) for r in counted))))
+    share = ends / max(1, sum(sum(r[1:7]) for r in counted))
+    base = min(0.5, max(0.02, share))
     opened, reference, closing = set(), set(), set()
     for token, end, low, up, dig, let, oth, bare in counted:
         n = end + low + up + dig + let + oth
         short = len(token) <= 3 and token[0].isupper()
-        if not end and (n * math.log(1 - base) < math.log(1e-4) if not short else n >= 2 and bare < n):
+        if n and end <= RARELY * min(0.1, share) * n and (n * _divergence(end / n, base) > -math.log(1e-4) if not short else n >= 2 and bare < n):
             opened.add(token)
         if n >= 3 and dig >= 0.5 * n:
             reference.add(token)
-        if end and low:
+        if n and end >= OFTEN * n and low >= OFTEN * n:
             closing.add(token)
     return frozenset(opened), frozenset(reference), frozenset(closing)
 
@@ -197,6 +205,12 @@ class Document:
             self._gather()
         return word.lower() not in self._small and self._capital[word] > 0
 
+    def common(self, word: str) -> bool:
+        """The text has the word with a small letter, never with its capital amid a sentence."""
+        if self._abbreviated is None:
+            self._gather()
+        return word.lower() in self._small and not self._capital[word]
+
 
 class Splitter:
     """Cuts texts into sentences with the abbreviations of a corpus."""
@@ -227,14 +241,16 @@ class Splitter:
             if doc.abbreviated(token, False) and not doc.ended(token) and not doc.plain(token) or token in self.opened:
                 return False
             return blank or len(token) > 1
+        word = _WORD.match(t, where)
+        if doc.abbreviated(token, False) and word and doc.proper(word[0]):
+            return False
+        if word and (doc.ended(token) or len(token) <= 3 and doc.bare(token)) and doc.common(word[0]):
+            return True
         if token in self.opened:
             return False
         if token in self.closing:
             return True
-        if len(token) <= 2 and token[0].isupper() and not doc.bare(token):
-            return False
-        word = _WORD.match(t, where)
-        return not (doc.abbreviated(token, False) and word and doc.proper(word[0]))
+        return not (len(token) <= 2 and token[0].isupper() and not doc.bare(token))
 
     def _regions(self, t: str, marks: list[re.Match]) -> list[tuple[int, int, bool]]:
         """Matched (start, end behind the closing sign, is a quotation), outermost only."""

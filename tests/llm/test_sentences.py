@@ -88,3 +88,16 @@ def test_abbreviations_of_scripts_without_capitals(spark):
     df = spark.createDataFrame([("אמר ר. יוחנן מלה.",) for _ in range(40)], "t string")
     opened, _, _ = corpus_lexicon(df, "t")
     assert cut_up("אמר ר. יוחנן", Splitter(opened)) == ["אמר ר. יוחנן"]
+
+
+def test_text_counts_before_the_corpus():
+    split = Splitter(closing=frozenset(["approx"]), opened=frozenset(["Ur"]))
+    assert cut_up("It was approx., as the Moon! They saw approx. Moon and went.", split) == ["It was approx., as the Moon!", "They saw approx. Moon and went."]
+    assert cut_up("From Ur the men left. They came to Ur. Men sang.", split) == ["From Ur the men left.", "They came to Ur.", "Men sang."]
+    assert cut_up("They came to Ur. Men sang.", split) == ["They came to Ur. Men sang."]
+
+
+def test_single_counts_decide_nothing():
+    rows = [("Dr", 1, 1, 998, 0, 0, 0, 0), ("etc", 40, 30, 50, 0, 0, 0, 0), ("wall", 900, 1, 900, 0, 0, 0, 0)]
+    opened, _, closing = lexicon(rows)
+    assert "Dr" in opened and closing == {"etc"}
