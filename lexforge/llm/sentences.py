@@ -66,10 +66,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _AMID = re.compile(r"(?<=[\w,;] )[^\W\d_a-zа-яё][^\W\d_]*(?:['’-][^\W\d_]+)*")
 _INNER = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + r"]+(?=\s|[^\W\d_])")
 
-#: A token type counts in the corpus fallback if it makes up this share of all tokens
-#: before full stops: there can be no more than 1 / SUPPORT such types, whatever the
-#: data, so the lexicon may be sent to every task.
-SUPPORT = 1e-5
+#: A lexicon of up to so many abbreviations is sent to every task; from a larger one each text gets its own by a join.
+BROADCAST = 200_000
 LONGEST = 16
 #: A token that never closes has this part of the share of ends that all stops have (counted as 0.1 at most); one that closes has this share at ends and before small letters each.
 RARELY, OFTEN = 0.1, 0.02
@@ -130,10 +128,10 @@ def _divergence(p: float, base: float) -> float:
     return (p * math.log(p / base) if p else 0.0) + (1 - p) * math.log((1 - p) / (1 - base))
 
 
-def lexicon(counted: list[tuple[str, int, int, int, int, int, int, int]]) -> tuple[frozenset, frozenset, frozenset]:
-    """(open, reference, closing) abbreviations from rows of (token, end, low, up, dig, let, oth, bare)."""
-    ends = sum(r[1] for r in counted)
-    share = ends / max(1, sum(sum(r[1:7]) for r in counted))
+def lexicon(counted: list[tuple[str, int, int, int, int, int, int, int]], share: float | None = None) -> tuple[frozenset, frozenset, frozenset]:
+    """(open, reference, closing) abbreviations from rows of (token, end, low, up, dig, let, oth, bare); ``share`` of ends in all stops, if the rows aren't all."""
+    if share is None:
+        share = sum(r[1] for r in counted) / max(1, sum(sum(r[1:7]) for r in counted))
     base = min(0.5, max(0.02, share))
     opened, reference, closing = set(), set(), set()
     for token, end, low, up, dig, let, oth, bare in counted:
@@ -362,10 +360,11 @@ class Splitter:
 
 
 CONTEXTS = ("end", "low", "up", "dig", "let", "oth", "bare")
+KINDS = ("opened", "reference", "closing")
 
 
-def corpus_lexicon(df: DataFrame, text: str) -> tuple[frozenset, frozenset, frozenset]:
-    """The abbreviations of all texts of ``df``; counts are summed before they are shuffled."""
+def qualified(df: DataFrame, text: str) -> DataFrame:
+    """(token, opened, reference, closing) of all abbreviations in the texts of ``df``; counts are summed before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -384,21 +383,63 @@ def corpus_lexicon(df: DataFrame, text: str) -> tuple[frozenset, frozenset, froz
     each = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "token string, follows string, n bigint")
     rows = cut(each.groupBy("token").agg(*[F.sum(F.when(F.col("follows") == c, F.col("n")).otherwise(0)).alias(c) for c in CONTEXTS]), "dotted-tokens")
     dotted = " + ".join(f"`{c}`" for c in CONTEXTS[:-1])
-    total = rows.agg(F.sum(F.expr(dotted))).first()[0] or 0
-    rows = rows.where(F.expr(dotted) >= max(2.0, SUPPORT * total))
-    return lexicon([tuple(r) for r in rows.select("token", *CONTEXTS).collect()])
+    ends, total = rows.agg(F.sum("end"), F.sum(F.expr(dotted))).first()
+    share = (ends or 0) / max(1, total or 0)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = lexicon(list(zip(*[c.to_pylist() for c in b.columns])), share)
+            which = list(frozenset().union(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), *[pa.array([x in kind for x in which], pa.bool_()) for kind in found]], names=["token", *KINDS])
+
+    settled = rows.where(F.expr(dotted) >= 2).select("token", *CONTEXTS).mapInArrow(settle, "token string, opened boolean, reference boolean, closing boolean")
+    return cut(settled, "abbreviations")
+
+
+def _sets(rows: list) -> tuple[frozenset, frozenset, frozenset]:
+    return tuple(frozenset(r[0] for r in rows if r[k]) for k in (1, 2, 3))
+
+
+def corpus_lexicon(df: DataFrame, text: str) -> tuple[frozenset, frozenset, frozenset]:
+    """The abbreviations of all texts of ``df``."""
+    return _sets([tuple(r) for r in qualified(df, text).collect()])
+
+
+def _own_lexicons(named: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, t, known): each text with those of the abbreviations ``known`` that it has before a full stop."""
+    texts = cut(named.withColumn("_id", F.monotonically_increasing_id()), "texts")
+
+    def dotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids: list[int] = []
+            found: list[str] = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {_token(t, m.start(), 0) for m in _DOT.finditer(t)} if t else set()
+                ids += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["_id", "token"])
+
+    each = texts.select("_id", "t").mapInArrow(dotted, "_id bigint, token string").join(known, "token")
+    own = each.groupBy("_id").agg(F.collect_list(F.struct("token", *KINDS)).alias("known"))
+    return texts.join(own, "_id", "left").select("key", "t", "known")
 
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+def sentences(df: DataFrame, key: str, text: str, broadcast: int = BROADCAST) -> DataFrame:
     """The sentences of every text: ``key``, sent_no (from 1), start_pos, end_pos (code points).
 
     Null, empty and blank texts have none. Repeated rows and keys each get their own
     rows; an empty table gives an empty one; other columns aren't read. Texts are read
     whole, twice: once for the corpus' abbreviations, once to be cut; nothing is
-    shuffled but one count for each token and partition.
+    shuffled but one count for each token and partition, unless there are more than
+    ``broadcast`` abbreviations, which are then joined to the texts that have them.
     """
-    splitter = Splitter(*corpus_lexicon(df, text))
+    known = qualified(df, text)
     named = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
+    few = known.limit(broadcast + 1).collect()
+    splitter = Splitter(*_sets([tuple(r) for r in few])) if len(few) <= broadcast else None
+    few = None
+    if splitter is None:
+        named = _own_lexicons(named, known)
     kind = named.schema["key"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,9 +448,11 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
             no: list[int] = []
             start: list[int] = []
             end: list[int] = []
+            own = b.column(2).to_pylist() if splitter is None else None
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    for k, (x, y) in enumerate(splitter.spans(t), 1):
+                    cutter = splitter or Splitter(*_sets([(r["token"], *[r[k] for k in KINDS]) for r in own[i] or ()]))
+                    for k, (x, y) in enumerate(cutter.spans(t), 1):
                         which.append(i)
                         no.append(k)
                         start.append(x)

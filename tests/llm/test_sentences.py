@@ -101,3 +101,15 @@ def test_single_counts_decide_nothing():
     rows = [("Dr", 1, 1, 998, 0, 0, 0, 0), ("etc", 40, 30, 50, 0, 0, 0, 0), ("wall", 900, 1, 900, 0, 0, 0, 0)]
     opened, _, closing = lexicon(rows)
     assert "Dr" in opened and closing == {"etc"}
+
+
+def test_rare_abbreviations_of_large_corpora(spark):
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmn"]
+    rows = [(i, " ".join(f"{w}." for w in words), 0) for i in range(1000)] + [(5000 + i, "It is on xyz. 2 here.", 0) for i in range(4)] + [(None, "xyz. 2 it is", 0)]
+    df = spark.createDataFrame(rows, "rec_id bigint, t string, sent_no int").repartition(4)
+    assert "xyz" in corpus_lexicon(df, "t")[1]
+    few = df.where("rec_id is null or rec_id >= 5000 or rec_id < 3")
+    for most in (100, 0):
+        got = sentences(few, "rec_id", "t", most)
+        assert got.where("rec_id >= 5000").count() == 4 and got.where("rec_id is null").count() == 1
+    assert sentences(few, "rec_id", "t", 0).exceptAll(sentences(few, "rec_id", "t")).count() == 0
