@@ -6,7 +6,8 @@ domains; distributed projected-gradient least squares then fits document rates b
 0 and the repeat cap whose expected domain token totals match the targets, both by
 posterior and, with weight ``LABEL``, by the source that a document states; a last
 calibration brings the totals by stated source onto the targets, as far as the caps
-allow, and rates become whole copies by error diffusion over tokens.
+allow, and rates become whole copies by error diffusion over tokens, within each
+partition and then from partition to partition over one document of each.
 
 The state of an iteration is the list of steps so far (a few numbers a domain), from
 which any task works out the rates of its documents: nothing is kept on executors, and
@@ -15,11 +16,14 @@ what goes to the driver is one number a mix and domain.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,30 +229,58 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, p
     names = targets.sources
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         owed = np.zeros((m, n))
+        last: dict[tuple[int, int], tuple] = {}
+        typed: pa.DataType | None = None
+
+        def rows(found: list[tuple], debts: list[float | None]) -> pa.RecordBatch:
+            """``found``: (mix, source, key, tokens, copies); a debt marks the document that may still take or lose copies."""
+            i, k, keys, sizes, copies = map(list, zip(*found)) if found else ([], [], [], [], [])
+            cols = [pa.array([targets.mixes[x] for x in i], pa.int32()), pa.array(keys, typed), pa.array([names[x] for x in k], pa.string()), pa.array([int(x) for x in sizes], pa.int64()), pa.array(copies, pa.int32()), pa.array(debts, pa.float64()), pa.array([part] * len(i), pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, names=["mix_id", key, "source", "tokens", "n_copies", "owed", "part"])
+
         for b in batches:
             s, tokens, post = _arrays(b, n)
+            typed = b.column(0).type
+            keys = b.column(0).to_pylist()
             rates = _rates(s, tokens, post, start, cap, steps)
-            for i, mix in enumerate(targets.mixes):
-                which: list[int] = []
-                copies: list[int] = []
+            for i in range(m):
+                found: list[tuple] = []
                 debt, most = owed[i].tolist(), cap[i].tolist()
                 live = np.flatnonzero(rates[i] > 0)
                 live = live[np.argsort(-tokens[live], kind="stable")]
                 for d, k, t, r in zip(live.tolist(), s[live].tolist(), tokens[live].tolist(), rates[i, live].tolist()):
                     debt[k] += r * t
                     c = min(int(debt[k] / t + 0.5), int(most[k])) if debt[k] > 0 else 0
-                    if c:
-                        debt[k] -= c * t
-                        which.append(d)
-                        copies.append(c)
+                    debt[k] -= c * t
+                    if (i, k) in last and last[i, k][4]:
+                        found.append(last[i, k])
+                    last[i, k] = (i, k, keys[d], t, c)
                 owed[i] = debt
-                at = pa.array(which, pa.int64())
-                of = b.column(1).take(at).to_pylist()
-                cols = [pa.array(np.full(len(which), mix, np.int32)), b.column(0).take(at), pa.array([names[k] for k in of], pa.string()), b.column(2).take(at), pa.array(copies, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["mix_id", key, "source", "tokens", "n_copies"])
+                yield rows(found, [None] * len(found))
+        if last:
+            yield rows(list(last.values()), [owed[at] for at in last])
 
-    drawn = cut(docs.mapInArrow(whole, drawn_schema), "drawn")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Carries the debt of each mix and source from partition to partition; the last document of each takes or loses copies."""
+        debt: dict[tuple, float] = {}
+        for b in batches:
+            copies = []
+            for mix, source, t, c, owed in zip(*[b.column(x).to_pylist() for x in ("mix_id", "source", "tokens", "n_copies", "owed")]):
+                due = debt.get((mix, source), 0.0) + owed
+                most = int(cap[targets.mixes.index(mix), names.index(source)])
+                more = max(-c, min(most - c, math.floor(due / t + 0.5)))
+                debt[mix, source] = due - more * t
+                copies.append(c + more)
+            done = pa.RecordBatch.from_arrays([*[b.column(x) for x in ("mix_id", key, "source", "tokens")], pa.array(copies, pa.int32())], names=["mix_id", key, "source", "tokens", "n_copies"])
+            yield done.filter(pa.compute.greater(done.column(4), 0))
+
+    # The last document of each mix and source in a partition stays open, so that what a partition owes isn't lost.
+    parted = cut(docs.mapInArrow(whole, f"{drawn_schema}, owed double, part int"), "drawn")
+    columns = ["mix_id", key, "source", "tokens", "n_copies"]
+    still = parted.where("owed is not null").repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", "part")
+    drawn = parted.where("owed is null").select(*columns).unionByName(cut(still.mapInArrow(settle, drawn_schema), "settled"))
     actual = np.zeros((m, n))
     for mix, s, a in drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("n_copies"))).collect():
         actual[targets.mixes.index(mix), names.index(s)] = a

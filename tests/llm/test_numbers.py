@@ -117,6 +117,25 @@ def test_mixture_reaches_shares(spark):
     assert len({(r.mix_id, r.doc_id) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.7])
+def test_small_source_over_many_partitions(spark, share):
+    rows = [(i, "tiny" if i % 6 == 0 else "big", "ab" * (50 if i % 6 == 0 else 20 + i % 7)) for i in range(240)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), "doc_id bigint, source string, text string")
+    aim = int(40 * 100 * share)
+    targets = mixes(spark, (1, "tiny", float(aim), 1, aim + 4000), (1, "big", 4000.0, 1, aim + 4000))
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "6000")
+    try:
+        drawn, report = mixing.mixture(df, "doc_id", "source", "text", targets, per_source=50)
+        got = {r.source: r for r in report.collect()}
+        again = drawn.where("source = 'tiny'").agg(F.sum(F.col("tokens") * F.col("n_copies"))).first()[0]
+    finally:
+        spark.conf.set(limit, before)
+    assert got["tiny"].actual_tokens == again == pytest.approx(got["tiny"].target_tokens, abs=100)
+    assert got["big"].actual_tokens == pytest.approx(got["big"].target_tokens, abs=100)
+
+
 def test_mixture_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, source string, text string")
     drawn, report = mixing.mixture(df, "doc_id", "source", "text", mixes(spark, (1, "a", 1.0, 1, 10)))
