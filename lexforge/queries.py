@@ -572,7 +572,8 @@ def column_widths(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.widths(table(spark, base, "rashi", "b", "p", "c"))
 
 
-SWEEP = ((10.0, 10.0), (20.0, 10.0), (20.0, 40.0), (30.0, 10.0))
+#: The distinct configurations of the reference; 10 is the refine weight where it names none.
+SWEEP = ((0.0, 10.0), (10.0, 10.0), (20.0, 10.0), (30.0, 10.0), (60.0, 10.0), (20.0, 40.0), (20.0, 75.0))
 
 
 @query()

@@ -33,7 +33,9 @@ def test_exact_tokens_of_all_fields(spark, tiny):
 
 def test_sweep_over_all_fields(spark, tiny):
     con = connect(tiny)
-    for r in core.QUERIES["weight_sweep"](spark, tiny).collect():
+    got = core.QUERIES["weight_sweep"](spark, tiny).collect()
+    assert {(0.0, 10.0), (60.0, 10.0), (20.0, 75.0)} < {(r["coverage"], r["refine"]) for r in got} and len(got) == 7
+    for r in got:
         sql = f"{whole(str(r['coverage']), str(r['refine']))} SELECT {core.METRICS} FROM ({core.RESULTS})"
         assert [plain(r[k]) for k in ("n", "top1", "top1tied", "top3", "mrr", "miss")] == [plain(x) for x in con.sql(sql).fetchall()[0]], r
 
