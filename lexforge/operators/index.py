@@ -4,7 +4,7 @@ Folding maps Hebrew and transliterated words onto one consonant key: vowels, vav
 and silent letters are dropped, letters that sound alike share a class, and repeats
 collapse. A query token matches a vocabulary token if their keys are equal, or within a
 small edit distance; the expensive comparisons are made once for each distinct pair of
-tokens and only then joined to the postings.
+tokens, whatever then happens to the records (``blocks``, ``batch_search``).
 
 Score of a record for a query (this engine's own design): for each query token the best
 over the fields of ``weight * tier + refine_weight * refine``, summed, plus
@@ -18,10 +18,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import clean_variant, clean_variant_sql, normalize, normalize_sql
+from lexforge.plans.lineage import cut
 
 # Consonant classes of folding. First letter groups of transliteration, then letters.
 GROUPS = (("sch", "S"), ("sh", "S"), ("tz", "S"), ("ts", "S"), ("ch", "K"), ("kh", "K"), ("th", "T"), ("ph", "B"), ("gh", "G"), ("dh", "D"))
@@ -116,10 +117,10 @@ def near(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
 def token_matches(asked: DataFrame, vocabulary: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(qtoken, token, tier, refine) for each distinct query token and vocabulary token that match.
 
-    ``asked`` has ``qtoken``; ``vocabulary`` has ``token`` and ``fkey``. Empty keys match nothing.
+    ``asked`` has ``qtoken``; ``vocabulary`` has ``token``, each once, and ``fkey``. Empty keys match nothing.
     """
     qs = asked.select("qtoken").distinct().withColumn("qkey", fold(F.col("qtoken"))).where("qkey <> ''")
-    vs = vocabulary.select("token", "fkey").distinct().where("fkey <> ''")
+    vs = vocabulary.select("token", "fkey").where("fkey <> ''")
     keys = near(qs, vs, "qkey", "fkey")
     both = qs.join(keys, "qkey").join(vs, "fkey")
     spelled = fold_vowels(F.col("token"))
@@ -161,13 +162,6 @@ def totals(asked: DataFrame, feats: DataFrame, key: str, options: SearchOptions
     return asked.join(scored, "qtoken").groupBy("qid", key).agg(F.sum("s").alias("s"))
 
 
-def contenders(total: DataFrame, key: str, most: float, limit: int) -> DataFrame:
-    """The rows of each query that can still be among its best ``limit`` if up to ``most`` is added to each: none that can is lost."""
-    w = Window.partitionBy("qid").orderBy(F.desc("s"), key)
-    bar = total.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).groupBy("qid").agg(F.min("s").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return total.join(bar, "qid").where((F.col("_n") < limit) | (F.col("s") >= F.col("_s") - most)).drop("_s", "_n")
-
-
 def coverage(rows: DataFrame, asked: DataFrame, found: DataFrame, post: DataFrame, key: str, lemma: str = "dh") -> DataFrame:
     """(qid, key, coverage) for ``rows`` (qid, key): the share of the lemma's tokens that some query token matched."""
     matched = asked.join(found.select("qtoken", "token"), "qtoken").select("qid", "token").distinct()
@@ -180,14 +174,14 @@ def scores(total: DataFrame, covered: DataFrame, key: str, options: SearchOption
     return total.join(covered, ["qid", key], "left").select("qid", key, F.round(F.col("s") + options.coverage * F.coalesce("coverage", F.lit(0.0)), 6).alias("score"))
 
 
-def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions(), limit: int | None = None, boost: float = 0.0) -> DataFrame:
-    """(qid, key, score) of the records that match some token of each query.
+def batch_search(asked: DataFrame, post: DataFrame, key: str, options: SearchOptions = SearchOptions(), vocabulary: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score) of all records that match some token of each query, for a few queries; ``blocks.search_all`` takes a set of any size.
 
-    With ``limit`` only those that can be among a query's best so many, though up to
-    ``boost`` is still to be added; coverage, worth ``options.coverage`` at most, is then
-    worked out for these alone.
+    Only the postings of matching tokens are read on: the matches are written once, and
+    the postings joined to them once for scores and coverage together.
     """
-    found = token_matches(asked, post.select("token", "fkey").distinct(), options)
-    total = totals(asked, features(found, post, key, tuple(options.fields)), key, options)
-    rows = contenders(total, key, options.coverage + boost, limit) if limit else total
-    return scores(rows, coverage(rows, asked, found, post, key), key, options)
+    words = vocabulary if vocabulary is not None else post.select("token", "fkey").distinct()
+    found = cut(token_matches(asked, words, options), "matches")
+    hits = cut(post.join(found.select("token").distinct(), "token", "left_semi"), "hits")
+    total = totals(asked, features(found, hits, key, tuple(options.fields)), key, options)
+    return scores(total, coverage(total, asked, found, hits, key), key, options)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import numerals as N
 from lexforge.functions import text as X
 from lexforge.functions import translit as T
-from lexforge.operators import evaluate, index, ingest, nested, resolve, sample, search
+from lexforge.operators import blocks, evaluate, index, ingest, nested, resolve, sample, search, store
 from lexforge.plans import parse
 from lexforge.plans.lineage import cut
 from lexforge.sources.tables import table
@@ -115,7 +115,7 @@ def word_prefix_places(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def highlight_marks(spark: SparkSession, base: str) -> DataFrame:
     """STR6, STR9: the top of a search with its lemma marked."""
-    top = search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="את"))
+    top = search.search(store.records(spark, base), search.Query(lemma="את"))
     return top.select("rec_id", "score", X.highlight(F.col("t"), ["את"]).alias("marked"))
 
 
@@ -327,13 +327,13 @@ def ladder_sql(lemma: str, where: str, limit: str = "") -> str:
 @query(ladder_sql("כי אם", "true"))
 def lemma_ladder(spark: SparkSession, base: str) -> DataFrame:
     """SCR1, SCR2, FLT4, FLT7, FLT8: every row the ladder keeps."""
-    return search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="כי אם"), limit=None).select("rec_id", "score")
+    return search.search(store.records(spark, base), search.Query(lemma="כי אם"), limit=None).select("rec_id", "score")
 
 
 @query(ladder_sql("את", "true", "LIMIT 60"))
 def lemma_ladder_topk(spark: SparkSession, base: str) -> DataFrame:
     """SRT1, SRT6."""
-    return search.search(search.search_columns(table(spark, base, "rashi")), search.Query(lemma="את")).select("rec_id", "score")
+    return search.search(store.records(spark, base), search.Query(lemma="את")).select("rec_id", "score")
 
 
 @query(f"SELECT rec_id, round(1.0 + {N.pop_boost_sql('lk')}, 6) AS score FROM rashi WHERE b = (SELECT min(b) FROM rashi) AND c = 1 ORDER BY score DESC, rec_id")
@@ -432,73 +432,52 @@ def postings(spark: SparkSession, base: str) -> DataFrame:
     return _posted(spark, base, "dh", "t", "vt")
 
 
-@query(f"WITH posted AS ({POSTED}) SELECT q.qid, p.rec_id, count(*) AS n_tokens FROM ({ASKED}) q JOIN posted p ON p.field = 'dh' AND p.fkey = {index.fold_sql('q.qtoken')} AND p.fkey <> '' GROUP BY q.qid, p.rec_id")
+@query(f"""WITH posted AS ({POSTED}) SELECT q.qtoken, p.rec_id, p.field, CAST(sum(p.n) AS BIGINT) AS n FROM (SELECT DISTINCT qtoken FROM ({ASKED})) q
+JOIN posted p ON p.fkey = {index.fold_sql('q.qtoken')} AND p.fkey <> '' GROUP BY q.qtoken, p.rec_id, p.field""")
 def exact_token_search(spark: SparkSession, base: str) -> DataFrame:
-    """FTX2."""
-    asked = _asked(spark, base).withColumn("fkey", index.fold(F.col("qtoken"))).where("fkey <> ''")
-    return asked.join(_posted(spark, base, "dh"), "fkey").groupBy("qid", "rec_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    """FTX2: how often each field of a record has each distinct query token, by equal keys."""
+    asked = _asked(spark, base).select("qtoken").distinct().withColumn("fkey", index.fold(F.col("qtoken"))).where("fkey <> ''")
+    return asked.join(store.stored_postings(spark, base), "fkey").groupBy("qtoken", "rec_id", "field").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH posted AS ({POSTED}), asked AS ({ASKED}) {FOUND}")
 def fuzzy_token_search(spark: SparkSession, base: str) -> DataFrame:
     """FTX3, FTX4: distinct pairs of query and vocabulary tokens within the bound, with tier and refinement."""
-    return index.token_matches(_asked(spark, base), _posted(spark, base, "dh", "t", "vt"))
+    return index.token_matches(cut(_asked(spark, base), "asked"), store.vocabulary(spark, base))
 
 
 COVERED = """SELECT qid, rec_id, sum(n) / max(size) AS coverage FROM (SELECT DISTINCT a.qid, p.rec_id, p.token, p.n, p.size FROM asked a JOIN found f USING (qtoken) JOIN posted p ON p.token = f.token AND p.field = 'dh') GROUP BY qid, rec_id"""
 
 
-def scored_sql(cover: str = "20.0", latin: str = "40.0") -> str:
-    return f"""SELECT s.qid, s.rec_id, round(s.s + {cover} * coalesce(c.coverage, 0.0), 6) AS score FROM (
+def scored_sql(cover: float = 20.0, latin: float = 40.0) -> str:
+    """Every record of every query with its score, popularity included."""
+    return f"""SELECT qid, rec_id, round(score + {N.pop_boost_sql('lk')}, 6) AS score FROM (SELECT s.qid, s.rec_id, round(s.s + {cover} * coalesce(c.coverage, 0.0), 6) AS score FROM (
       SELECT qid, rec_id, sum(s) AS s FROM (SELECT qid, rec_id, qtoken, max(w * tier + CASE WHEN regexp_matches(qtoken, '[a-z]') THEN {latin} ELSE 10.0 END * refine) AS s FROM (
         SELECT qid, rec_id, qtoken, field, CASE field WHEN 'dh' THEN 3.0 ELSE 1.0 END AS w, m.tier AS tier, m.refine AS refine FROM (
           SELECT a.qid, p.rec_id, a.qtoken, p.field, max(struct_pack(tier := f.tier, refine := f.refine)) AS m FROM asked a JOIN found f USING (qtoken) JOIN posted p ON p.token = f.token GROUP BY ALL)) GROUP BY qid, rec_id, qtoken) GROUP BY qid, rec_id) s
-    LEFT JOIN covered c USING (qid, rec_id)"""
+    LEFT JOIN covered c USING (qid, rec_id)) JOIN (SELECT rec_id, lk FROM rashi) USING (rec_id)"""
 
 
-POSTED_DH = f"""SELECT rec_id, 'dh' AS field, token, {index.fold_sql('token')} AS fkey, count(*) AS n, len(ts) AS size FROM (SELECT rec_id, unnest(ts) AS token, ts FROM (SELECT rec_id, {index.tokens_sql('dh')} AS ts FROM rashi)) GROUP BY rec_id, token, ts"""
-RANKED = f"""WITH posted AS (SELECT rec_id, field, token, fkey, sum(n) AS n, max(size) AS size FROM ({POSTED_DH}) GROUP BY ALL), asked AS ({ASKED}), found AS ({FOUND}), covered AS ({COVERED}), scored AS ({scored_sql()}),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id) AS rn FROM scored) WHERE rn <= 60)"""
+MATCHED = f"WITH posted AS MATERIALIZED ({POSTED}), asked AS MATERIALIZED ({ASKED}), found AS MATERIALIZED ({FOUND}), covered AS MATERIALIZED ({COVERED})"
 
 
-@query(RANKED + " SELECT qid, rec_id, score FROM hits")
-def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
-    """FTX5, SRT1: every stored query against the lemmas alone, without boosts, the best 60 each; ``full_text_topk`` has all fields."""
-    return _hits(spark, base)
-
-
-def _hits(spark: SparkSession, base: str) -> DataFrame:
-    found = index.batch_search(_asked(spark, base), _posted(spark, base, "dh"), "rec_id", index.SearchOptions(fields={"dh": 3.0}), evaluate.LIMIT)
-    return search.top_by(found, "qid", "score", "rec_id", evaluate.LIMIT)
-
+def hits_sql(scored: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id) AS rn FROM ({scored})) WHERE rn <= 60"
 
-FIELDS = ("dh", "t", "vt")
-#: The most that popularity adds. Stored queries belong to no week, so there is no boost by week.
-BOOST = 50.0
 
+RANKED = f"{MATCHED}, hits AS MATERIALIZED ({hits_sql(scored_sql())})"
 
-def _boosted(spark: SparkSession, base: str, found: DataFrame) -> DataFrame:
-    """``found`` with the popularity boost in its scores."""
-    links = table(spark, base, "rashi", "rec_id", "lk").groupBy("rec_id").agg(F.max("lk").alias("lk"))
-    return found.join(links, "rec_id").select("qid", "rec_id", F.round(F.col("score") + N.pop_boost(F.col("lk")), 6).alias("score"))
 
+def _hits(spark: SparkSession, base: str, options: tuple[index.SearchOptions, ...] = (index.SearchOptions(),)) -> DataFrame:
+    """(option, qid, rec_id, score): the best 60 of every stored query, from one scan of the stored index. Stored queries belong to no week, so popularity is their only boost."""
+    records = store.token_lists(store.records(spark, base).withColumn("pop", N.pop_boost(F.col("lk"))), "rec_id", "pop")
+    return blocks.search_all(_asked(spark, base), records, store.vocabulary(spark, base), "rec_id", options, evaluate.LIMIT, "pop")
 
-def _full_hits(spark: SparkSession, base: str) -> DataFrame:
-    found = index.batch_search(_asked(spark, base), _posted(spark, base, *FIELDS), "rec_id", index.SearchOptions(), evaluate.LIMIT, BOOST)
-    return search.top_by(_boosted(spark, base, found), "qid", "score", "rec_id", evaluate.LIMIT)
 
-
-@query()
-def full_text_exact(spark: SparkSession, base: str) -> DataFrame:
-    """FTX2: how many tokens of a query each field of a record has by equal keys."""
-    asked = _asked(spark, base).withColumn("fkey", index.fold(F.col("qtoken"))).where("fkey <> ''")
-    return asked.join(_posted(spark, base, *FIELDS), "fkey").groupBy("qid", "rec_id", "field").agg(F.count(F.lit(1)).alias("n_tokens"))
-
-
-@query()
-def full_text_topk(spark: SparkSession, base: str) -> DataFrame:
-    """FTX5, FTX6, SRT1: every stored query against lemma, body and verse, boosted by popularity, the best 60 each; queries aren't parsed."""
-    return _full_hits(spark, base)
+@query(RANKED + " SELECT qid, rec_id, score FROM hits")
+def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
+    """FTX5, FTX6, SRT1: every stored query against lemma, body and verse, boosted by popularity, the best 60 each."""
+    return _hits(spark, base).select("qid", "rec_id", "score")
 
 
 # ---- evaluation (AGG4-AGG7, AGG12, WIN1, JN9, SRT3, EVL3-EVL6) ----
@@ -524,9 +503,8 @@ def gold_join(spark: SparkSession, base: str) -> DataFrame:
     return _gold(spark, base)
 
 
-def _results(spark: SparkSession, base: str, hits: Callable[[SparkSession, str], DataFrame] = _hits) -> DataFrame:
-    gold = _gold(spark, base)
-    return gold.join(evaluate.target_ranks(hits(spark, base), gold.select("qid", "target")), "qid", "left").withColumn("bucket", N.word_bucket(F.col("dhWords")))
+def _results(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.target_ranks(_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords")))
 
 
 @query(f"{RANKED} SELECT qid, rank, tie FROM ({RESULTS})")
@@ -548,52 +526,47 @@ def worst_k(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.worst(_results(spark, base)).select("qid", "rank", "tie")
 
 
-@query()
-def full_text_rank(spark: SparkSession, base: str) -> DataFrame:
-    """AGG7, WIN1, EVL3 but for parsing: ranks among ``full_text_topk``."""
-    return _results(spark, base, _full_hits).select("qid", "rank", "tie")
+@query("SELECT CAST(max(length(b)) AS INT) AS b, CAST(max(length(p)) AS INT) AS p, CAST(max(length(CAST(c AS VARCHAR))) AS INT) AS c FROM rashi")
+def column_widths(spark: SparkSession, base: str) -> DataFrame:
+    """AGG12."""
+    return evaluate.widths(table(spark, base, "rashi", "b", "p", "c"))
 
 
-@query()
-def full_text_metrics(spark: SparkSession, base: str) -> DataFrame:
-    """AGG4, AGG5, AGG6, EVL4, NUM3."""
-    return evaluate.by_groups(_results(spark, base, _full_hits), "style", "variant", "bucket")
+# The configurations of a sweep (coverage, refinement of Latin tokens); 10 is the refinement where none is named. The last is the first of the best again.
+SWEEP = ((0.0, 10.0), (10.0, 10.0), (20.0, 10.0), (30.0, 10.0), (60.0, 10.0), (20.0, 40.0), (20.0, 75.0), (20.0, 40.0))
+SWEPT = f"{MATCHED}, gold AS ({GOLD}), " + ", ".join(f"hits{i} AS MATERIALIZED ({hits_sql(scored_sql(*c))})" for i, c in enumerate(dict.fromkeys(SWEEP)))
 
 
-@query()
-def full_text_worst(spark: SparkSession, base: str) -> DataFrame:
-    """SRT3, EVL5."""
-    return evaluate.worst(_results(spark, base, _full_hits)).select("qid", "rank", "tie")
+def swept_sql(i: int) -> str:
+    return RESULTS.replace("FROM hits", f"FROM hits{i}")
 
 
-@query("SELECT CAST(max(length(b)) AS INT) AS b, CAST(max(length(p)) AS INT) AS p, CAST(max(length(CAST(c AS VARCHAR))) AS INT) AS c FROM rashi")
-def column_widths(spark: SparkSession, base: str) -> DataFrame:
-    """AGG12."""
-    return evaluate.widths(table(spark, base, "rashi", "b", "p", "c"))
+def _swept(spark: SparkSession, base: str) -> DataFrame:
+    """(option, qid, rank, tie, ...): the results of every stored query under each distinct configuration, from one scan of the index."""
+    distinct = list(dict.fromkeys(SWEEP))
+    hits = _hits(spark, base, tuple(index.SearchOptions(coverage=c, refine_latin=r) for c, r in distinct))
+    gold = _gold(spark, base).withColumn("option", F.explode(F.array(*[F.lit(i) for i in range(len(distinct))])))
+    return evaluate.target_ranks(hits, gold, "rec_id", "option")
 
 
-#: The distinct configurations of the reference; 10 is the refine weight where it names none.
-SWEEP = ((0.0, 10.0), (10.0, 10.0), (20.0, 10.0), (30.0, 10.0), (60.0, 10.0), (20.0, 40.0), (20.0, 75.0))
+def _configured(results: DataFrame) -> DataFrame:
+    """With config (1 to 8), coverage and refine for ``option``; a configuration named twice comes twice."""
+    distinct = list(dict.fromkeys(SWEEP))
+    configs = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(c).alias("coverage"), F.lit(r).alias("refine"), F.lit(distinct.index((c, r))).alias("of")) for n, (c, r) in enumerate(SWEEP, 1)])
+    return results.withColumn("x", F.explode(F.filter(configs, lambda x: x["of"] == F.col("option")))).select("x.config", "x.coverage", "x.refine", *[c for c in results.columns if c != "option"])
 
 
-@query()
+@query(f"{SWEPT} " + " UNION ALL ".join(f"SELECT CAST({n} AS INT) AS config, CAST({c} AS DOUBLE) AS coverage, CAST({r} AS DOUBLE) AS refine, {METRICS} FROM ({swept_sql(list(dict.fromkeys(SWEEP)).index((c, r)))})" for n, (c, r) in enumerate(SWEEP, 1)))
 def weight_sweep(spark: SparkSession, base: str) -> DataFrame:
-    """EVL6, AGG11: metrics for several weights from one feature table."""
-    asked, post, gold = _asked(spark, base), _posted(spark, base, *FIELDS), _gold(spark, base)
-    found = index.token_matches(asked, post)
-    feats = cut(index.features(found, post, "rec_id", FIELDS), "features")
-    parts = []
-    for cover, latin in SWEEP:
-        weights = index.SearchOptions(coverage=cover, refine_latin=latin)
-        rows = index.contenders(index.totals(asked, feats, "rec_id", weights), "rec_id", cover + BOOST, evaluate.LIMIT)
-        scored = index.scores(rows, index.coverage(rows, asked, found, post, "rec_id"), "rec_id", weights)
-        hits = search.top_by(_boosted(spark, base, scored), "qid", "score", "rec_id", evaluate.LIMIT)
-        ranks = gold.select("qid").join(evaluate.target_ranks(hits, gold.select("qid", "target")), "qid", "left")
-        parts.append(ranks.agg(*evaluate.metrics()).select(F.lit(cover).alias("coverage"), F.lit(latin).alias("refine"), "*"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    """EVL6, AGG11: metrics under all eight configurations, all scored in one scan of one index."""
+    return _configured(_swept(spark, base).groupBy("option").agg(*evaluate.metrics()))
+
+
+@query(f"{SWEPT} " + " UNION ALL ".join(f"(SELECT CAST({n} AS INT) AS config, qid, rank, tie FROM ({swept_sql(list(dict.fromkeys(SWEEP)).index((c, r)))}) ORDER BY rank DESC NULLS FIRST, qid LIMIT 15)" for n, (c, r) in enumerate(SWEEP, 1)))
+def sweep_worst(spark: SparkSession, base: str) -> DataFrame:
+    """EVL6, SRT3: the 15 worst queries under each configuration."""
+    ranked = _swept(spark, base).withColumn("badness", F.coalesce("rank", F.lit(1 << 40)))
+    return _configured(search.top_by(ranked, "option", "badness", "qid", 15)).select("config", "qid", "rank", "tie")
 
 
 # ---- sampling and query generation (WIN2-WIN6, SMP1-SMP3, SRT4, JN10, EVL1-EVL2, EVL7, FLT10-FLT11) ----
@@ -712,31 +685,41 @@ def partial_queries(spark: SparkSession, base: str) -> DataFrame:
 
 def names_of(spark: SparkSession, base: str) -> parse.Names:
     """Books and sections: dimensions of a corpus, small by nature; checked before they come to the driver."""
-    sections = table(spark, base, "sections", "b", "bh", "p", "ph").limit(100_001).collect()
+    sections = table(spark, base, "sections", "b", "bh", "p", "ph", "ord_no").limit(100_001).collect()
     if len(sections) > 100_000:
         raise ValueError("more than 100,000 sections")
+    sections.sort(key=lambda r: (r["b"], r["ord_no"]))
     return parse.Names(list(dict.fromkeys((r["b"], r["bh"]) for r in sections)), list(dict.fromkeys((r["p"], r["ph"], r["b"]) for r in sections)))
 
 
-@query()
-def smart_search(spark: SparkSession, base: str) -> DataFrame:
-    """PRS1-PRS9, RES1: a located free-text query through parser, hypothesis check and search."""
-    names = names_of(spark, base)
-    rows = search.search_columns(table(spark, base, "rashi"))
-    post = _posted(spark, base, *FIELDS)
-    book = next(iter(names.books.values()))
-
-    def run(q) -> DataFrame:
-        words = [w for w in parse.plain_normalize(q.words).split() if w]
-        free = None
-        if words:
-            asked = spark.createDataFrame([("q", w) for w in dict.fromkeys(words)], "qid string, qtoken string")
-            free = index.batch_search(asked, post, "rec_id")
-        return search.search(rows, q, free)
-
-    def top(q) -> dict | None:
+def box_search(spark: SparkSession, base: str, text: str, names: parse.Names) -> DataFrame:
+    """The query box: parser, hypothesis check, then the search with filters, boosts and the best 60."""
+    rows, words = store.records(spark, base), store.vocabulary(spark, base)
+
+    def run(q: search.Query) -> DataFrame:
+        said = list(dict.fromkeys(parse.plain_normalize(q.words).lower().split()))
+        if not said:
+            return search.search(rows, q)
+        asked = spark.createDataFrame([("q", w) for w in said], "qid string, qtoken string")
+        return search.search(rows, q, index.batch_search(asked, store.stored_postings(spark, base), "rec_id", vocabulary=words))
+
+    def top(q: search.Query) -> dict | None:
         first = run(q).first()
         return first.asDict() if first else None
 
-    q = parse.resolve_soft(parse.parse(f"{book.split()[0]} ki", names), top)
-    return run(q).select("rec_id", "b", "c", "v", "i", "score")
+    return run(parse.resolve_soft(parse.parse(text, names), top))
+
+
+#: The first book's first word, in Latin, and one word of its own.
+BOXED = "lower(split_part((SELECT min(b) FROM sections), ' ', 1))"
+BOX_ASKED = f"SELECT DISTINCT * FROM (SELECT 'free' AS qid, {BOXED} AS qtoken UNION ALL SELECT 'free', 'ki' UNION ALL SELECT 'kept', 'ki')"
+
+
+@query(f"""WITH posted AS MATERIALIZED ({POSTED}), asked AS MATERIALIZED ({BOX_ASKED}), found AS MATERIALIZED ({FOUND}), covered AS ({COVERED}), scored AS MATERIALIZED ({scored_sql()}),
+best AS (SELECT r.b FROM scored s JOIN rashi r USING (rec_id) WHERE s.qid = 'free' ORDER BY s.score DESC, s.rec_id LIMIT 1),
+chosen AS (SELECT CASE WHEN NOT EXISTS (SELECT * FROM best) OR (SELECT b FROM best) = (SELECT min(b) FROM sections) THEN 'kept' ELSE 'free' END AS qid)
+SELECT rec_id, r.b, r.c, r.v, r.i, s.score FROM scored s JOIN rashi r USING (rec_id) WHERE s.qid = (SELECT qid FROM chosen) AND (s.qid = 'free' OR r.b = (SELECT min(b) FROM sections)) ORDER BY s.score DESC, rec_id LIMIT 60""")
+def smart_search(spark: SparkSession, base: str) -> DataFrame:
+    """PRS1-PRS9, RES1, FTX6: the first book's name and a word through parser, hypothesis check and search."""
+    names = names_of(spark, base)
+    return box_search(spark, base, f"{min(names.books.values()).split()[0]} ki", names).select("rec_id", "b", "c", "v", "i", "score")
