@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 # Hebrew points and accents, dropped from words.
 POINTS = dict.fromkeys([*range(0x591, 0x5BE), 0x5BF, 0x5C1, 0x5C2, 0x5C4, 0x5C5, 0x5C7])
 _POINTED = re.compile("[֑-ׇֽֿׁׂׅׄ]")
-_MARKUP = re.compile(r"<[^<>]{1,200}>")
+_MARKUP = re.compile(r"<[^<>]+>")
 _UNIGRAM = re.compile(r"[^\W\d_]+|[.!?,]")
 #: Word lengths from here on are one shape.
 LONG = 14

@@ -4,21 +4,24 @@ Method: soft-membership mixing. A classifier trained on a labelled table (bounde
 ``per_source`` expected documents a source) gives every document posteriors over the
 domains; distributed projected-gradient least squares then fits document rates between
 0 and the repeat cap whose expected domain token totals match the targets, both by
-posterior and, with weight ``LABEL``, by the source that a document states; a last
-calibration brings the totals by stated source onto the targets, as far as the caps
-allow, and rates become whole copies by error diffusion over tokens, within each
-partition and then from partition to partition over one document of each.
-
-The state of an iteration is the list of steps so far (a few numbers a domain), from
-which any task works out the rates of its documents: nothing is kept on executors, and
-what goes to the driver is one number a mix and domain.
+posterior and, with weight ``LABEL``, by the source that a document states. All rates
+start alike; the steps go on until the objective settles. A last calibration brings
+the little that is left by stated source onto the targets, as far as the caps allow,
+and rates become whole copies by error diffusion over tokens, within each partition and
+then from partition to partition over one document of each.
+
+The gradient of a document depends on its stated source and, linearly, on its
+posteriors. With the projection taken when rates are read (lazily), the state of the
+iteration is two numbers a mix and domain, from which any task works out the rates of
+its documents in one go: nothing is kept on executors, no step is replayed, and what
+goes to the driver is two numbers a mix and domain.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,10 @@ from lexforge.plans.lineage import cut
 BUCKETS = 4096
 #: How many bytes of a text may count as independent evidence; the classifier takes the
 #: one under which documents it wasn't trained on are likeliest to be of their source.
-EVIDENCE = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0)
+EVIDENCE = (*(4.0**k for k in range(10)), math.inf)
 LABEL = 10.0
-GRADIENT_STEPS = 6
+#: The iteration ends once a step lowers no mix's objective by more than this part, or after so many steps.
+SETTLED, MOST_STEPS = 0.01, 30
 
 
 def byte_pairs(text: bytes) -> np.ndarray:
@@ -150,19 +154,92 @@ def _arrays(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return b.column(1).to_numpy(), b.column(2).to_numpy().astype(float), post.flatten().to_numpy().astype(float).reshape(-1, n)
 
 
-def _rates(s: np.ndarray, tokens: np.ndarray, post: np.ndarray, start: np.ndarray, cap: np.ndarray, steps: list[tuple]) -> np.ndarray:
-    """(mix, document) rates after ``steps``, from the rates and caps by (mix, source)."""
-    known = s >= 0
-    own = np.where(known, s, 0)
-    top = np.where(known & (tokens > 0), cap[:, own], 0.0)
-    r = np.minimum(start[:, own], top)
-    for kind, hard, soft in steps:
-        if kind == "gradient":
-            r = np.clip(r - tokens * (hard[:, own] + soft @ post.T), 0.0, top)
-        else:
-            r = r * hard[:, own]
-            r = r + soft[:, own] * (top - r)
-    return r
+@dataclass(frozen=True)
+class Rates:
+    """What gives every document its rate; all but ``have`` are (mix, source).
+
+    A rate is ``own`` plus the document's posteriors times ``soft`` for each token of its
+    source, projected onto 0 to ``cap``; then ``down`` and ``up`` calibrate.
+    """
+
+    own: np.ndarray
+    soft: np.ndarray
+    cap: np.ndarray
+    have: np.ndarray
+    down: np.ndarray | None = None
+    up: np.ndarray | None = None
+
+    def of(self, s: np.ndarray, tokens: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """(mix, document) rates; 0 for a document of no source or without tokens."""
+        known = (s >= 0) & (tokens > 0)
+        k = np.where(known, s, 0)
+        top = np.where(known, self.cap[:, k], 0.0)
+        r = np.clip(self.own[:, k] + (self.soft @ post.T) / np.maximum(self.have[k], 1.0), 0.0, top)
+        return r if self.down is None else r * self.down[:, k] + self.up[:, k] * (top - r * self.down[:, k])
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Expected tokens by stated source and by posterior, (mix, source); ``press`` bounds the steepness of the soft part."""
+
+    hard: np.ndarray
+    soft: np.ndarray
+    press: np.ndarray
+
+
+def expected(docs: DataFrame, rates: Rates) -> Totals:
+    """One pass over ``docs`` (see ``posteriors``); what is summed is two numbers a mix and source, and one a source."""
+    m, n = rates.own.shape
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2 * m + 1, n))
+        for b in batches:
+            s, tokens, post = _arrays(b, n)
+            mass = rates.of(s, tokens, post) * tokens
+            held[m : 2 * m] += mass @ post
+            held[2 * m] += np.where(s >= 0, tokens / np.maximum(rates.have[np.maximum(s, 0)], 1.0), 0.0) @ post
+            for i in range(m):
+                held[i] += np.bincount(s[s >= 0], mass[i, s >= 0], n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(held.size)), pa.array(held.ravel())], names=["at", "x"])
+
+    found = np.zeros((2 * m + 1) * n)
+    for at, x in docs.mapInArrow(add, "at bigint, x double").groupBy("at").agg(F.sum("x")).collect():
+        found[at] = x
+    found = found.reshape(2 * m + 1, n)
+    return Totals(found[:m], found[m : 2 * m], found[2 * m])
+
+
+def objective(t: Totals, aim: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Squared distance of both kinds of totals from the targets, per mix, as a part of the squared targets."""
+    gaps = LABEL * (t.hard - aim) ** 2 + (t.soft - aim) ** 2
+    return np.where(member, gaps, 0.0).sum(1) / np.maximum((aim**2).sum(1), 1.0)
+
+
+def fit_rates(docs: DataFrame, aim: np.ndarray, member: np.ndarray, cap: np.ndarray, have: np.ndarray, most_steps: int = MOST_STEPS) -> tuple[Rates, Totals, np.ndarray, np.ndarray, int]:
+    """(rates, their totals, objective at the start, objective at the end, steps) by projected gradient from equal rates.
+
+    A step is 1 / (LABEL + press), press the largest row sum of the soft part's Gram
+    matrix, in the metric in which a token of each source's whole counts alike; so no
+    source is too large or too small to move.
+    """
+    even = np.divide(aim.sum(1), (member * have).sum(1), out=np.zeros(aim.shape[0]), where=(member * have).sum(1) > 0)
+    rates = Rates(np.where(member, even[:, None], 0.0), np.zeros(aim.shape), cap, have)
+    totals = expected(docs, rates)
+    first = last = objective(totals, aim, member)
+    step = 1.0 / (LABEL + max(1.0, totals.press.max(initial=0.0)))
+    done = 0
+    while done < most_steps:
+        gap = np.where(member, totals.hard - aim, 0.0)
+        own = rates.own - step * LABEL * np.divide(gap, have, out=np.zeros(aim.shape), where=have > 0)
+        rates = Rates(own, rates.soft - step * np.where(member, totals.soft - aim, 0.0), cap, have)
+        totals = expected(docs, rates)
+        now = objective(totals, aim, member)
+        done += 1
+        settled = (last - now <= SETTLED * np.maximum(last, 1e-12)).all()
+        last = now
+        if settled:
+            break
+    return rates, totals, first, last, done
 
 
 def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, per_source: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +248,8 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, p
     drawn: mix_id, ``key``, source, tokens, n_copies (from 1). report: mix_id, source,
     weight_share, target_tokens, available_tokens, most_tokens (available times the
     repeat cap), soft_tokens (expected by posterior), expected_tokens, actual_tokens,
-    actual_share, short (most_tokens < target_tokens).
+    actual_share, short (most_tokens < target_tokens), calibrated (tokens that the least
+    squares left to the calibration), objective_start, objective and steps of the mix.
 
     Documents of a source that a mix doesn't name, or of none, aren't drawn for it, nor
     are null and empty texts. Repeated keys are documents of their own. An empty table
@@ -180,52 +258,23 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, p
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     drawn_schema = f"mix_id int, {key} {kind}, source string, tokens bigint, n_copies int"
-    report_schema = "mix_id int, source string, weight_share double, target_tokens double, available_tokens bigint, most_tokens bigint, soft_tokens double, expected_tokens double, actual_tokens bigint, actual_share double, short boolean"
+    report_schema = "mix_id int, source string, weight_share double, target_tokens double, available_tokens bigint, most_tokens bigint, soft_tokens double, expected_tokens double, actual_tokens bigint, actual_share double, short boolean, calibrated double, objective_start double, objective double, steps int"
     m, n = targets.target.shape
     if not m:
         return spark.createDataFrame([], drawn_schema), spark.createDataFrame([], report_schema)
     docs = cut(posteriors(df, key, source, text, targets.sources, per_source), "posteriors")
-    have, squares = np.zeros(n), np.zeros(n)
-    for s, a, b in docs.where("s >= 0").groupBy("s").agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("tokens").cast("double"))).collect():
-        have[s], squares[s] = a, b
+    have = np.zeros(n)
+    for s, a in docs.where("s >= 0").groupBy("s").agg(F.sum("tokens")).collect():
+        have[s] = a
     cap = np.where(targets.member, targets.repeats, 0.0)
     aim = np.minimum(targets.target, cap * have)
-    start = np.divide(aim, have, out=np.zeros((m, n)), where=have > 0)
-    budget = np.maximum(targets.target.sum(1, keepdims=True), 1.0)
-    steps: list[tuple] = []
-
-    def totals() -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens by stated source and by posterior, each (mix, source)."""
-        done = list(steps)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hard, soft = np.zeros((m, n)), np.zeros((m, n))
-            for b in batches:
-                s, tokens, post = _arrays(b, n)
-                mass = _rates(s, tokens, post, start, cap, done) * tokens
-                soft += mass @ post
-                for i in range(m):
-                    hard[i] += np.bincount(s[s >= 0], mass[i, s >= 0], n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m * n)), pa.array(hard.ravel()), pa.array(soft.ravel())], names=["at", "hard", "soft"])
-
-        hard, soft = np.zeros(m * n), np.zeros(m * n)
-        for at, a, b in docs.mapInArrow(add, "at bigint, hard double, soft double").groupBy("at").agg(F.sum("hard"), F.sum("soft")).collect():
-            hard[at], soft[at] = a, b
-        return hard.reshape(m, n), soft.reshape(m, n)
-
-    # The Gram matrix of the rows is no larger than its largest row sum, squares of a source at most.
-    inside = (targets.member * squares).sum(1, keepdims=True)
-    steepest = 2 * (LABEL * np.maximum((targets.member * squares).max(1, keepdims=True), 1.0) + np.maximum(inside, 1.0)) / budget**2
-    for _ in range(GRADIENT_STEPS):
-        hard, soft = totals()
-        slope = 2 / (budget**2 * steepest)
-        steps.append(("gradient", LABEL * slope * np.where(targets.member, hard - aim, 0.0), slope * np.where(targets.member, soft - aim, 0.0)))
-    hard, soft = totals()
-    room = cap * have - hard
-    down = np.divide(aim, hard, out=np.ones((m, n)), where=hard > aim)
-    up = np.divide(aim - hard, room, out=np.zeros((m, n)), where=(hard < aim) & (room > 0))
-    steps.append(("calibrate", down, np.clip(up, 0.0, 1.0)))
-    hard, soft = totals()
+    fitted, before, start, end, steps = fit_rates(docs, aim, targets.member, cap, have)
+    room = cap * have - before.hard
+    down = np.divide(aim, before.hard, out=np.ones((m, n)), where=before.hard > aim)
+    up = np.divide(aim - before.hard, room, out=np.zeros((m, n)), where=(before.hard < aim) & (room > 0))
+    rates_of = replace(fitted, down=down, up=np.clip(up, 0.0, 1.0))
+    after = expected(docs, rates_of)
+    hard, soft = after.hard, after.soft
     names = targets.sources
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +293,7 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, p
             s, tokens, post = _arrays(b, n)
             typed = b.column(0).type
             keys = b.column(0).to_pylist()
-            rates = _rates(s, tokens, post, start, cap, steps)
+            rates = rates_of.of(s, tokens, post)
             for i in range(m):
                 found: list[tuple] = []
                 debt, most = owed[i].tolist(), cap[i].tolist()
@@ -289,5 +338,5 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: Targets, p
         for k, s in enumerate(names):
             if targets.member[i, k]:
                 most = have[k] * targets.repeats[i, k]
-                rows.append((mix, s, float(targets.weight[i, k] / max(targets.weight[i].sum(), 1e-300)), float(targets.target[i, k]), int(have[k]), int(most), float(soft[i, k]), float(hard[i, k]), int(actual[i, k]), float(actual[i, k] / max(actual[i].sum(), 1.0)), bool(most < targets.target[i, k])))
+                rows.append((mix, s, float(targets.weight[i, k] / max(targets.weight[i].sum(), 1e-300)), float(targets.target[i, k]), int(have[k]), int(most), float(soft[i, k]), float(hard[i, k]), int(actual[i, k]), float(actual[i, k] / max(actual[i].sum(), 1.0)), bool(most < targets.target[i, k]), float(aim[i, k] - before.hard[i, k]), float(start[i]), float(end[i]), steps))
     return drawn, spark.createDataFrame(rows, report_schema)

@@ -14,8 +14,8 @@ Plain spelling:
 * accented Latin and Cyrillic letters are single characters;
 * every blank but line breaks is U+0020;
 * characters without a trace of their own are gone, control characters among them;
-* a word that mixes Latin, Cyrillic and Greek letters gets the script of most of its
-  letters, as far as look-alikes exist.
+* a word that mixes Latin, Cyrillic, Greek, Armenian or Cherokee letters gets the script
+  of most of its letters, as far as look-alikes exist.
 
 Pointed and unpointed text stay apart, and punctuation is never changed.
 """
@@ -28,14 +28,16 @@ from functools import cache
 
 import duckdb
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Yiddish digraphs, which have no decomposition of their own.
 DIGRAPHS = {"װ": "וו", "ױ": "וי", "ײ": "יי"}
 
-# Look-alikes as (Latin, Cyrillic, Greek); "-" where a script has none.
+# Look-alikes as (Latin, Cyrillic, Greek); "-" where a script has none. Of two
+# rows with one letter the later counts. They go before those that the rule below finds.
 LOOKALIKES = """
+w ѡ ω|n - η|l ӏ -
 A А Α|B В Β|C С -|E Е Ε|H Н Η|I І Ι|J Ј -|K К Κ|M М Μ|N - Ν|O О Ο|P Р Ρ|S Ѕ -|T Т Τ|X Х Χ|Y У Υ|Z - Ζ
 a а α|c с -|d ԁ -|e е -|h һ -|i і ι|j ј -|k к κ|m м -|n п -|o о ο|p р ρ|q ԛ -|r г -|s ѕ -|t т τ|u - υ|v ѵ ν|w ԝ -|x х χ|y у γ|b Ь -|ç ҫ -|ë ё -
 """
@@ -53,6 +55,15 @@ SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial
 # (Thai and Lao sara am, Lao digraphs, Tibetan, Hangul letters), as ranges.
 ORDINARY = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x3130, 0x318F))
 
+#: Scripts whose letters are mixed up in words, with the code points of theirs that are looked at.
+SCRIPTS = {
+    "Latin": (*range(0x41, 0x5B), *range(0x61, 0x7B)),
+    "Cyrillic": tuple(range(0x400, 0x530)),
+    "Greek": tuple(range(0x370, 0x400)),
+    "Armenian": tuple(range(0x531, 0x587)),
+    "Cherokee": tuple(range(0x13A0, 0x13F6)),
+}
+
 #: Code points up to here are looked at; beyond lie no compatibility forms of letters.
 LAST = 0x1FBFF
 
@@ -94,42 +105,70 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _same_look(spark: SparkSession) -> dict[str, str]:
+    """Each single letter of SCRIPTS and the letter it is confusable with, by the Unicode data of ICU (part of Spark); {} where the JVM is out of reach."""
+    letters = [chr(c) for points in SCRIPTS.values() for c in points if unicodedata.category(chr(c))[0] == "L" and unicodedata.normalize("NFD", chr(c)) == chr(c)]
+    try:
+        found = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    except Exception:
+        return {}
+    plain = ["".join(x for x in f if not unicodedata.combining(x)) for f in found]
+    return {a: b for a, b in zip(letters, plain) if len(b) == 1} if len(found) == len(letters) else {}
+
+
+def lookalikes(spark: SparkSession) -> dict[str, tuple[str, str]]:
+    """For each script the letters of other scripts that look like one of its own, and those own letters.
+
+    Two letters look alike if ICU finds them confusable with the same letter and both
+    are capitals, or neither; of several the one with the lowest code point counts.
+    """
+    rows = [x.split() for line in LOOKALIKES.split("\n") for x in line.split("|") if x]
+    same = _same_look(spark)
+    script = {chr(c): name for name, points in SCRIPTS.items() for c in points}
+    out = {}
+    for at, name in enumerate(SCRIPTS):
+        own: dict[tuple[str, bool], str] = {}
+        for x in sorted((x for x in same if script[x] == name), reverse=True):
+            own[same[x], x.isupper()] = x
+        found = {x: own[same[x], x.isupper()] for x in same if script[x] != name and (same[x], x.isupper()) in own}
+        if at < 3:
+            found |= {x: row[at] for row in rows if row[at] != "-" for k, x in enumerate(row) if k != at and x != "-"}
+        out[name] = "".join(found), "".join(found.values())
+    return out
+
+
 MACROS = """
 CREATE OR REPLACE MACRO lf_single(s) AS CASE WHEN regexp_matches(s, {dirty}) THEN translate(s, {src}, {dst}) ELSE s END;
 CREATE OR REPLACE MACRO lf_several(s) AS CASE WHEN regexp_matches(s, {several})
   THEN array_to_string(list_transform(string_split(s, ''), lambda x: coalesce(getvariable('lf_many')[x], x)), '') ELSE s END;
-CREATE OR REPLACE MACRO lf_word(w) AS CASE
-  WHEN NOT regexp_matches(w, {mixed}) THEN w
-  WHEN length(regexp_replace(w, '[^\\p{{Latin}}]', '', 'g')) >= greatest(length(regexp_replace(w, '[^\\p{{Cyrillic}}]', '', 'g')), length(regexp_replace(w, '[^\\p{{Greek}}]', '', 'g'))) THEN translate(w, {to_latin})
-  WHEN length(regexp_replace(w, '[^\\p{{Cyrillic}}]', '', 'g')) >= length(regexp_replace(w, '[^\\p{{Greek}}]', '', 'g')) THEN translate(w, {to_cyrillic})
-  ELSE translate(w, {to_greek}) END;
+CREATE OR REPLACE MACRO lf_word(w) AS CASE WHEN NOT regexp_matches(w, {mixed}) THEN w ELSE {by_script} END;
 CREATE OR REPLACE MACRO lf_words(s) AS CASE WHEN regexp_matches(s, {mixed})
   THEN array_to_string(list_transform(regexp_extract_all(s, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: lf_word(w)), '') ELSE s END;
 """
 
 
-def connect() -> duckdb.DuckDBPyConnection:
-    """A DuckDB of one thread with the steps of plain spelling as macros; one for each Arrow partition."""
+def connect(alike: dict[str, tuple[str, str]]) -> duckdb.DuckDBPyConnection:
+    """A DuckDB of one thread with the steps of plain spelling as macros; one for each Arrow partition. ``alike``: see ``lookalikes``."""
     one, many, blanks, gone = tables()
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
     con.execute("SET VARIABLE lf_many = MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in many.items()) + "}")
     src, dst = "".join(one) + blanks.replace(" ", "") + gone, "".join(one.values()) + " " * len(blanks.replace(" ", ""))
-    rows = [x.split() for line in LOOKALIKES.split("\n") for x in line.split("|") if x]
-
-    def pairs(to: int) -> str:
-        found = {x: row[to] for row in rows if row[to] != "-" for k, x in enumerate(row) if k != to and x != "-"}
-        return f"{_quoted(''.join(found))}, {_quoted(''.join(found.values()))}"
-
-    mixed = "|".join(f"\\p{{{a}}}\\p{{M}}*\\p{{{b}}}" for a in ("Latin", "Cyrillic", "Greek") for b in ("Latin", "Cyrillic", "Greek") if a != b)
-    con.execute(
-        MACROS.format(
-            dirty=_quoted(f"[{_class(src)}]"), src=_quoted(src), dst=_quoted(dst), several=_quoted(f"[{_class(''.join(many))}]"),
-            mixed=_quoted(mixed), to_latin=pairs(0), to_cyrillic=pairs(1), to_greek=pairs(2),
-        )
-    )
+    counts = {name: f"length(regexp_replace(w, '[^\\p{{{name}}}]', '', 'g'))" for name in alike}
+    names, cases = list(alike), ""
+    for i, name in enumerate(names):
+        # Of equally many the earlier script wins.
+        most = " AND ".join(f"{counts[name]} >= {counts[x]}" for x in names[i + 1 :]) or "true"
+        cases += f" WHEN {most} THEN translate(w, {_quoted(alike[name][0])}, {_quoted(alike[name][1])})"
+    by_script = f"CASE{cases} ELSE w END"
+    con.execute(MACROS.format(dirty=_quoted(f"[{_class(src)}]"), src=_quoted(src), dst=_quoted(dst), several=_quoted(f"[{_class(''.join(many))}]"), mixed=_quoted(mixed_pattern()), by_script=by_script))
     return con
 
 
+def mixed_pattern() -> str:
+    """A word in which letters of two of the scripts follow each other."""
+    return "|".join(f"\\p{{{a}}}\\p{{M}}*\\p{{{b}}}" for a in SCRIPTS for b in SCRIPTS if a != b)
+
+
 def plain_sql(values: str, rest: str) -> str:
     """SQL for the rows of ``values``, with their column ``value`` and the columns ``rest``, and ``plain``.
 
@@ -141,9 +180,9 @@ def plain_sql(values: str, rest: str) -> str:
     return values
 
 
-def duck(batches: Iterator[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBatch]:
+def duck(batches: Iterator[pa.RecordBatch], sql: str, alike: dict[str, tuple[str, str]]) -> Iterator[pa.RecordBatch]:
     """``sql`` over each Arrow batch, registered as ``batch``."""
-    con = connect()
+    con = connect(alike)
     try:
         for batch in batches:
             if not batch.num_rows:
@@ -163,7 +202,8 @@ def plain_spelling(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     kind, named, values = _stacked(df, key, fields)
     sql = f"SELECT k, field, value, plain, plain <> value AS changed FROM {plain_sql(values, 'k, field')}"
-    return named.mapInArrow(lambda it: duck(it, sql), f"k {kind}, field string, value string, plain string, changed boolean").withColumnRenamed("k", key)
+    alike = lookalikes(df.sparkSession)
+    return named.mapInArrow(lambda it: duck(it, sql, alike), f"k {kind}, field string, value string, plain string, changed boolean").withColumnRenamed("k", key)
 
 
 def _stacked(df: DataFrame, key: str, fields: list[str]) -> tuple[str, DataFrame, str]:
@@ -177,4 +217,5 @@ def not_plain(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(``key``, field) of the values that aren't in plain spelling; see plain_spelling."""
     kind, named, values = _stacked(df, key, fields)
     sql = f"SELECT k, field FROM {plain_sql(values, 'k, field')} WHERE plain <> value"
-    return named.mapInArrow(lambda it: duck(it, sql), f"k {kind}, field string").withColumnRenamed("k", key)
+    alike = lookalikes(df.sparkSession)
+    return named.mapInArrow(lambda it: duck(it, sql, alike), f"k {kind}, field string").withColumnRenamed("k", key)

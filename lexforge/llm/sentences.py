@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,6 +53,8 @@ POINTS = (*range(0x591, 0x5BE), 0x5BF, 0x5C1, 0x5C2, 0x5C4, 0x5C5, 0x5C7)
 #: Tokens are compared without points and unseen signs, and with compatibility forms as ordinary letters.
 PLAIN = {ord(k): v for k, v in tables()[0].items()} | dict.fromkeys([*POINTS, *map(ord, UNSEEN)])
 
+#: Closing signs that may follow a quotation's last stop inside it.
+INNER_CLOSERS = frozenset('"»”」』)]')
 _PAIRS = QUOTES | BRACKETS
 _CLOSERS = frozenset(_PAIRS.values())
 _MARKS = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + "]+|[" + re.escape('"' + "".join({*_PAIRS, *_CLOSERS})) + "]")
@@ -68,7 +71,6 @@ _INNER = re.compile("[" + re.escape("".join({*SURE, *DOTS})) + r"]+(?=\s|[^\W\d_
 
 #: A lexicon of up to so many abbreviations is sent to every task; from a larger one each text gets its own by a join.
 BROADCAST = 200_000
-LONGEST = 16
 #: A token that never closes has this part of the share of ends that all stops have (counted as 0.1 at most); one that closes has this share at ends and before small letters each.
 RARELY, OFTEN = 0.1, 0.02
 
@@ -99,10 +101,16 @@ def _seen(t: str, i: int) -> str:
 
 
 def _token(t: str, at: int, low: int) -> str:
-    """The run of letters and the like right before ``at``, without points; "" if too long for an abbreviation."""
-    low = max(low, at - 3 * LONGEST)
-    m = _TOKEN.search(t[max(low, t.rfind(" ", low, at) + 1) : at])
-    return m[0].translate(PLAIN) if m else ""
+    """The run of letters and the like right before ``at`` (no further back than ``low``), without points; looked for in ever longer pieces, so that its own length is all it costs."""
+    far = 32
+    while True:
+        begin = max(low, at - far)
+        m = _TOKEN.search(t[max(begin, t.rfind(" ", begin, at) + 1) : at])
+        if not m:
+            return ""
+        if len(m[0]) < at - begin or begin == low:
+            return m[0].translate(PLAIN)
+        far *= 2
 
 
 def _kind(ch: str) -> str:
@@ -116,7 +124,7 @@ def evidence(texts: Iterator[str]) -> Counter:
         if "." in t:
             for m in _DOT.finditer(t):
                 token = _token(t, m.start(), 0)
-                if 0 < len(token) <= LONGEST and not token[-1].isdigit():
+                if token and not token[-1].isdigit():
                     found[token, _kind(_seen(t, m.end()))] += 1
         if not t.isupper() and not t.islower() and (names := _SHORT.findall(t)):
             found.update((x, "bare") for x in names)
@@ -250,8 +258,8 @@ class Splitter:
             return True
         return not (len(token) <= 2 and token[0].isupper() and not doc.bare(token))
 
-    def _regions(self, t: str, marks: list[re.Match]) -> list[tuple[int, int, bool]]:
-        """Matched (start, end behind the closing sign, is a quotation), outermost only."""
+    def _regions(self, t: str, marks: list[re.Match]) -> list[tuple[int, int, bool, int]]:
+        """Matched (start, end behind the closing sign, is a quotation, end of what lies inside but blanks and closing signs), outermost only."""
         stack: list[tuple[str, int, bool]] = []
         open_: Counter = Counter()
         found: list[tuple[int, int, bool]] = []
@@ -282,10 +290,13 @@ class Splitter:
             elif open_[ch]:
                 close(ch, i)
         found.sort()
-        outer: list[tuple[int, int, bool]] = []
-        for r in found:
-            if not outer or r[0] >= outer[-1][1]:
-                outer.append(r)
+        outer: list[tuple[int, int, bool, int]] = []
+        for start, end, quote in found:
+            if not outer or start >= outer[-1][1]:
+                tail = end - 1
+                while tail > start + 1 and (t[tail - 1].isspace() or t[tail - 1] in INNER_CLOSERS):
+                    tail -= 1
+                outer.append((start, end, quote, tail))
         return outer
 
     def _line(self, doc: Document, line: tuple[int, int]) -> list[int]:
@@ -294,7 +305,7 @@ class Splitter:
         marks = list(_MARKS.finditer(t, *line))
         ends: list[int] = []
         regions = self._regions(t, [m for m in marks if m[0][0] not in SURE and m[0][0] not in DOTS]) if any(m[0] in _PAIRS or m[0] == '"' for m in marks) else []
-        k = 0
+        k, several = 0, {}
         for m in marks:
             ch = m[0]
             if ch[0] not in SURE and ch[0] not in DOTS:
@@ -303,12 +314,15 @@ class Splitter:
             while k < len(regions) and regions[k][1] <= at:
                 k += 1
             if k < len(regions) and regions[k][0] < at:
-                start, close, quote = regions[k]
-                if not quote or after < close - 8 or after < close - 1 and t[after : close - 1].strip("  \"»”」』)]") or t[after:close].isspace():
+                start, close, quote, tail = regions[k]
+                if not quote or after < tail:
                     continue
                 nxt, _, blank = _next(t, close, line[1])
                 kind = _kind(nxt)
-                if kind == "up" or kind == "let" and blank and not NO_BLANKS.match(nxt) and not _INNER.search(t, start + 1, at):
+                if k not in several:
+                    first_inside = _INNER.search(t, start + 1, close)
+                    several[k] = first_inside.end() if first_inside else close
+                if kind == "up" or kind == "let" and blank and not NO_BLANKS.match(nxt) and several[k] >= at:
                     ends.append(close)
                 continue
             if any(x in SURE for x in ch):
@@ -322,7 +336,11 @@ class Splitter:
             elif self._dot_ends(doc, at, after, line):
                 ends.append(after)
         if _THAI.search(t, *line):
-            ends += [m.start() for m in _BLANK.finditer(t, *line) if not any(a < m.start() < b for a, b, _ in regions) and self._of_thai(t, m.start(), line[0])]
+            starts = [r[0] for r in regions]
+            for m in _BLANK.finditer(t, *line):
+                r = bisect_left(starts, m.start()) - 1
+                if (r < 0 or m.start() >= regions[r][1]) and self._of_thai(t, m.start(), line[0]):
+                    ends.append(m.start())
             ends.sort()
         return ends
 

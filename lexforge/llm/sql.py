@@ -6,7 +6,8 @@ translate, nfc_normalize and replace over every value.
 
 from __future__ import annotations
 
-from lexforge.llm.plain import tables
+from lexforge.llm.plain import _class, mixed_pattern, tables
+from lexforge.llm.queries import BLANKS
 from lexforge.llm.terms import DROPPED, LETTERS
 
 
@@ -26,6 +27,14 @@ def terms_sql(value: str) -> str:
     return f"regexp_extract_all(regexp_replace({plain}, {_q(DROPPED)}, '', 'g'), {_q(LETTERS)})"
 
 
+def not_plain_sql(field: str) -> str:
+    """The values of ``field`` with a sign that plain spelling has not, not in canonical order, or with a word of two scripts."""
+    one, many, blanks, gone = tables()
+    strange = _q(f"[{_class(''.join(one) + ''.join(many) + blanks.replace(' ', '') + gone)}]")
+    mixed = _q(mixed_pattern())
+    return f"SELECT rec_id, '{field}' AS field FROM rashi WHERE regexp_matches({field}, {strange}) OR nfc_normalize({field}) <> {field} OR regexp_matches({field}, {mixed})"
+
+
 def oracle_sql() -> dict[str, str]:
     each = f"SELECT rec_id, 'dh' AS field, unnest({terms_sql('dh')}) AS term FROM rashi UNION ALL SELECT rec_id, 't', unnest({terms_sql('t')}) FROM rashi"
     counted = f"SELECT field, term, count(*) AS n_occurrences, count(DISTINCT rec_id) AS n_records FROM ({each}) GROUP BY field, term"
@@ -39,12 +48,22 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT rec_id, term FROM ({cells}) WHERE k >= 3 AND df BETWEEN 2 AND 8",
         "p1_scores": f"SELECT rec_id, term, k AS n_in_record, CAST(n AS BIGINT) AS record_terms, CAST(good AS BIGINT) AS n_occurrences, df AS n_records, round(lp / ln(10), 3) + 0.0 AS p_log10, round(abs(least(lq, 0.0)) / ln(10), 3) AS score FROM ({adjusted})",
+        "p2_found": " UNION ALL ".join(map(not_plain_sql, ("dh", "t", "vt"))),
+        "p3_check": f"SELECT rec_id, length(regexp_replace(t, {_q(BLANKS)}, '', 'g')) AS signs, true AS numbered, true AS ordered, true AS trimmed FROM rashi WHERE regexp_replace(t, {_q(BLANKS)}, '', 'g') <> ''",
+        "p5_check": """SELECT t.plan_id, t.stratum_id, count(DISTINCT q.id) AS available, round(greatest(t.min_rows, t.target_share * t.sample_size), 4) AS wanted, true AS minimum_kept, true AS size_kept, true AS ids_once, true AS balanced
+          FROM sample_targets t LEFT JOIN queries_partial q
+          ON q.dhWords >= t.dhwords_lo AND (t.dhwords_hi IS NULL OR q.dhWords <= t.dhwords_hi) AND q.lk >= t.lk_lo AND (t.lk_hi IS NULL OR q.lk <= t.lk_hi)
+          GROUP BY t.plan_id, t.stratum_id, t.min_rows, t.target_share, t.sample_size""",
         "p5_found": """SELECT t.plan_id, t.stratum_id FROM sample_targets t LEFT JOIN queries_partial q
           ON q.dhWords >= t.dhwords_lo AND (t.dhwords_hi IS NULL OR q.dhWords <= t.dhwords_hi) AND q.lk >= t.lk_lo AND (t.lk_hi IS NULL OR q.lk <= t.lk_hi)
           GROUP BY t.plan_id, t.stratum_id, t.min_rows, t.target_share, t.sample_size HAVING count(DISTINCT q.id) < greatest(t.min_rows, t.target_share * t.sample_size)""",
         "p6_found": f"SELECT field, term, mark FROM ({marked}) WHERE mark IS NOT NULL",
         "p6_terms": f"SELECT field, term, n_occurrences, n_records, mark FROM ({marked})",
         "p7_found": "SELECT c.capacity_id, d.doc_id FROM documents d JOIN containers c ON strlen(d.text) > c.capacity_tokens",
+        "p7_check": "SELECT c.capacity_id, count(DISTINCT d.doc_id) AS docs, CAST(sum(coalesce(strlen(d.text), 0)) AS BIGINT) AS tokens, true AS none_overfull, true AS few, true AS in_one_piece FROM documents d, containers c GROUP BY c.capacity_id",
+        "p8_check": """SELECT mix_id, source, round(least(want, n * max_repeats), 2) AS attainable, n * max_repeats < want AS short, true AS reached, true AS cap_kept, true AS reported, true AS fitted FROM (
+          SELECT m.*, coalesce(d.n, 0) AS n, m.budget_tokens * m.weight / sum(m.weight) OVER (PARTITION BY m.mix_id) AS want FROM mix_targets m
+          LEFT JOIN (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) d ON d.source = m.source)""",
         "p8_found": """SELECT mix_id, source FROM (SELECT m.*, coalesce(d.n, 0) AS n, m.budget_tokens * m.weight / sum(m.weight) OVER (PARTITION BY m.mix_id) AS want FROM mix_targets m
           LEFT JOIN (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) d ON d.source = m.source) WHERE n * max_repeats < want""",
     }

@@ -25,11 +25,31 @@ def test_cube_sample_meets_targets(spark):
     assert {k: r.available for k, r in got.items()} == {(1, 1): 1000, (1, 2): 800, (1, 3): 200, (1, 4): 0, (2, 1): 200}
     assert {k for k, r in got.items() if r.short} == {(1, 4), (2, 1)}
     for r in got.values():
-        assert abs(r.imbalance) < 1 and r.drawn >= min(r.available, int(r.wanted))
+        assert abs(r.imbalance) < 1 and r.drawn >= min(r.available, {3: 150, 4: 5}.get(r.stratum_id, 1))
     units = [(r.plan_id, r.id) for r in sample.collect()]
     assert len(units) == len(set(units)) == sum(r.drawn for r in got.values())
 
 
+def test_sizes_hold_the_plan():
+    def of(shares, least, available, size):
+        return sampling.sizes(*[np.array(x, float) for x in (shares, least, available)], size)
+
+    assert of([0.25] * 4, [0, 0, 0, 40], [100] * 4, 100) == pytest.approx([20, 20, 20, 40])
+    assert of([0.5, 0.3, 0.2], [0, 0, 0], [10, 100, 100], 100) == pytest.approx([10, 54, 36])
+    assert of([0.5, 0.5], [30, 40], [100, 100], 50) == pytest.approx([30, 40])
+    assert of([0.5, 0.5], [1, 1], [3, 0], 50) == pytest.approx([3, 0])
+    assert of([0.0, 1.0], [2, 0], [9, 9], 8) == pytest.approx([2, 6])
+
+
+def test_minimums_lower_the_other_strata(spark):
+    df = spark.createDataFrame([(f"u{i}", i % 12) for i in range(2400)], "id string, m int").repartition(5)
+    sample, report = sampling.balanced_sample(df, "id", ("m",), strata(spark, *[(1, k, k, k, 1 / 12, 20 if k == 4 else 1, 64) for k in range(12)]), BOUNDS)
+    got = {r.stratum_id: r for r in report.collect()}
+    assert got[4].drawn == 20 and abs(sample.count() - 64) <= 1 and not any(r.short for r in got.values())
+    assert all(3 <= r.drawn <= 5 and abs(r.imbalance) < 1 for k, r in got.items() if k != 4)
+    assert got[4].off_share and {k for k, r in got.items() if r.off_share} == {k for k, r in got.items() if abs(r.drawn - sample.count() / 12) > 1}
+
+
 def test_cube_draws_every_unit_alike(spark):
     df = spark.createDataFrame([(f"u{i}", 1) for i in range(60)], "id string, m int").repartition(3).cache()
     hits = {}
@@ -136,6 +156,34 @@ def test_small_source_over_many_partitions(spark, share):
     assert got["big"].actual_tokens == pytest.approx(got["big"].target_tokens, abs=100)
 
 
+def domain_documents(spark):
+    """Two sources; half of the documents of ``a`` are by their posteriors of domain ``b``."""
+    rows = [(i, 0, 100, [0.9, 0.1] if i % 2 else [0.1, 0.9]) for i in range(200)] + [(200 + i, 1, 100, [0.1, 0.9]) for i in range(200)] + [(999, -1, 100, [0.5, 0.5]), (998, 0, 0, [0.5, 0.5])]
+    return spark.createDataFrame(rows, "key bigint, s int, tokens bigint, post array<float>")
+
+
+def test_least_squares_move_domain_totals(spark):
+    """The fit brings totals by posterior near the targets; without its steps they stay where equal rates leave them."""
+    docs = domain_documents(spark)
+    have, aim = np.array([20_000.0, 20_000.0]), np.array([[8_000.0, 8_000.0]])
+    member, cap = np.ones((1, 2), bool), np.ones((1, 2))
+    rates, totals, first, last, steps = mixing.fit_rates(docs, aim, member, cap, have)
+    _, none, _, start, _ = mixing.fit_rates(docs, aim, member, cap, have, most_steps=0)
+    assert steps > 3 and last[0] < 0.25 * first[0] and start[0] == first[0]
+    assert np.abs(totals.soft - aim).max() < 0.5 * np.abs(none.soft - aim).max()
+    assert np.abs(totals.hard - aim).max() < 0.1 * 8_000
+    fit = rates.of(np.array([0, 0, -1]), np.array([100.0, 100.0, 100.0]), np.array([[0.9, 0.1], [0.1, 0.9], [0.5, 0.5]]))
+    assert fit[0, 0] > fit[0, 1] + 0.05 and fit[0, 2] == 0 and (fit >= 0).all() and (fit <= 1).all()
+
+
+def test_fit_starts_away_from_the_targets_and_reports(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 4 == 0], ("xy" if i % 4 else "qr") * (20 + i % 9)) for i in range(400)], "doc_id bigint, source string, text string")
+    _, report = mixing.mixture(df, "doc_id", "source", "text", mixes(spark, (1, "a", 1.0, 1, 4_000), (1, "b", 1.0, 1, 4_000)), per_source=50)
+    for r in report.collect():
+        assert r.objective < r.objective_start / 5 and r.steps >= 2 and abs(r.calibrated) < 0.1 * r.target_tokens
+        assert abs(r.actual_tokens - r.target_tokens) <= 60
+
+
 def test_mixture_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, source string, text string")
     drawn, report = mixing.mixture(df, "doc_id", "source", "text", mixes(spark, (1, "a", 1.0, 1, 10)))
@@ -173,6 +221,7 @@ def test_levels_of_odd_rows(spark):
     rows = [(1, "The cat.", 1), (1, "The cat.", 2), (2, None, 1), (3, "", 1), (4, " 12 ", 1), (None, "anthropomorphism", 1), (5, "cat " * 300_000, 1), (6, "漢字 漢", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, level int")
     got = [(r.doc_id, r.level) for r in levels.reading_levels(df, "doc_id", "text", model).collect()]
+    assert levels.unigrams("a <b " + "x" * 5000 + "> c < d") == ["a", "c", "d"]
     assert got[:7] == [(1, 1), (1, 1), (2, None), (3, None), (4, None), (None, 5), (5, 1)] and got[7][1] is not None
     assert levels.reading_levels(df.limit(0), "doc_id", "text", model).count() == 0
     assert [r.level for r in levels.reading_levels(df, "doc_id", "text", levels.train_levels([])).collect()] == [None] * 8

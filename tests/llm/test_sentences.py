@@ -1,10 +1,12 @@
 """Problem 3: rules by example, and invariants on any text."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexforge.llm.sentences import Splitter, corpus_lexicon, lexicon, sentences
+from lexforge.llm.sentences import Splitter, corpus_lexicon, evidence, lexicon, sentences
 
 SPLIT = Splitter(frozenset(["Dr", "M", "J", "B", "т", "i", "e"]), frozenset(["vol", "פר", "стр"]), frozenset(["etc", "д"]))
 
@@ -113,3 +115,22 @@ def test_rare_abbreviations_of_large_corpora(spark):
         got = sentences(few, "rec_id", "t", most)
         assert got.where("rec_id >= 5000").count() == 4 and got.where("rec_id is null").count() == 1
     assert sentences(few, "rec_id", "t", 0).exceptAll(sentences(few, "rec_id", "t")).count() == 0
+
+
+def test_long_tokens_are_evidence_too():
+    word = "Verwaltungsgerichtsbarkeitsverordnungsabk"
+    assert evidence([f"see {word}. 12"])[word, "dig"] == 1
+    assert evidence(["x" * 5000 + ". 12"])["x" * 5000, "dig"] == 1
+    assert cut_up(f"Laut {word}. 12 gilt das.", Splitter(reference=frozenset([word]))) == [f"Laut {word}. 12 gilt das."]
+
+
+def test_blanks_before_a_closing_quote():
+    assert cut_up("He said “Go home.            ” Then he left.") == ["He said “Go home.            ”", "Then he left."]
+    assert cut_up("He said “Go home. Now it is late” then he left.") == ["He said “Go home. Now it is late” then he left."]
+
+
+def test_many_quotations_on_one_line_take_linear_time():
+    text = "He said “Go home. Now.” and left. " * 20_000
+    began = time.perf_counter()
+    spans = SPLIT.spans(text + "ก ข " * 20_000)
+    assert len(spans) > 20_000 and time.perf_counter() - began < 20

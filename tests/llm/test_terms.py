@@ -104,12 +104,13 @@ CASES = [
     ("Ｂｕｙｅf 𝟓𝟎.𝟐", "Buyef 50.2"), ("Le mantеаu", "Le manteau"), ("Привeт мир", "Привет мир"), ("רצװשתץ ﭏ ℵ ﬡ", "רצוושתץ אל א א"), ("שׁ", "שׁ"), ("אּ֖", None),
     ("é cοntre", "é contre"), ("a b​c d\te", "a bc d e"), ("й", "й"), ("טֶּ", "טֶּ"), ("בֶ͏ג", "בֶג"), ("line\nline", "line\nline"), ("…！“x” –", "…！“x” –"),
     ("ทำ ｶ ① x²", "ทำ カ ① x²"), ("ﬁn Ⅳ", "fin IV"), ("この語は「井戸」", "この語は「井戸」"), ("", ""), ("dא", "dא"), ("שלום‏", "שלום"), ("a\x01b\x7f\u2028c", "ab\u2028c"),
+    ("ωord ѡord ηot ӏist սser Ꭺpple", "word word not list user Apple"), ("слово word λόγος մեր ᏣᎳᎩ", "слово word λόγος մեր ᏣᎳᎩ"), ("Іnside пpивет", "Inside привет"),
 ]
 
 
 @pytest.mark.parametrize(("given_", "want"), CASES)
-def test_plain(given_, want):
-    con = plain.connect()
+def test_plain(spark, given_, want):
+    con = plain.connect(plain.lookalikes(spark))
     con.execute("CREATE TABLE v AS SELECT ? AS value", [given_])
     got = con.execute(f"SELECT plain FROM {plain.plain_sql('v', 'value AS _v')}".replace("value AS _v, value", "value")).fetchall()[0][0]
     assert got == (unicodedata.normalize("NFC", given_) if want is None else want)
