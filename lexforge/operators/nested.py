@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.plans.lineage import cut
+
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
 _HALF = re.compile("[\ud800-\udfff]")
@@ -162,6 +164,17 @@ def _is_keyed(keys: dict[tuple, bool], path: tuple) -> bool:
     return keys.get(path, False)
 
 
+def opened(text: str | None) -> list[tuple[tuple, object, bool]]:
+    """The leaves of a record; a JSON string that holds JSON is opened, however often it is wrapped. Raises Damaged, with the reason."""
+    if not text or text.isspace():
+        raise Damaged("empty")
+    leaves = list(events(text))
+    while len(leaves) == 1 and not leaves[0][0] and leaves[0][2]:
+        # What a string holds is shorter than the string, so this ends.
+        leaves = list(events(leaves[0][1]))
+    return leaves
+
+
 def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str, str | None]]:
     """(table, ordinals, column, value) of a record, in its order; [] if it isn't complete JSON.
 
@@ -169,21 +182,19 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str, s
     wrapper keys, is opened first. An element without content has one triple with an
     empty column, so that its row exists. Numbers and truth values are kept as text.
     """
-    if not text or text.isspace():
-        return []
     try:
-        leaves = list(events(text))
-        for _ in range(3):
-            if len(leaves) == 1 and not leaves[0][0] and leaves[0][2]:
-                leaves = list(events(leaves[0][1]))
+        return _placed(opened(text), shape)
     except Damaged:
         return []
+
+
+def _placed(leaves: list[tuple[tuple, object, bool]], shape: Shape) -> list[tuple[str, list[int], str, str | None]]:
     tops = {p[0] for p, _, _ in leaves if p}
     for w in shape.wrappers:
         if w in tops and not any(x.steps and x.steps[0] in tops for x in shape.levels):
             inside = [(p[1:], v, s) for p, v, s in leaves if p and p[0] == w]
             if len(inside) == 1 and not inside[0][0] and inside[0][2]:
-                return triples(inside[0][1], shape)
+                return _placed(opened(inside[0][1]), shape)
             leaves = inside
             tops = {p[0] for p, _, _ in leaves if p}
     keyed: dict[tuple, bool] = {}
@@ -227,7 +238,7 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str, s
 
 
 def record_triples(df: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
-    """(key, tab, ordinals, col, value, seq) of all records; see ``triples``."""
+    """(key, tab, ordinals, col, value, seq) of all records; see ``triples``. A damaged one has a single row of table "" with the reason as value."""
     named = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
     kind = named.schema["key"].dataType.simpleString()
 
@@ -236,7 +247,10 @@ def record_triples(df: DataFrame, key: str, text: str, shape: Shape) -> DataFram
             which: list[int] = []
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1).to_pylist()):
-                own = triples(t, shape)
+                try:
+                    own = _placed(opened(t), shape)
+                except Damaged as e:
+                    own = [("", [], "", str(e))]
                 which += [i] * len(own)
                 rows += [(*r, j) for j, r in enumerate(own)]
             at = pa.array(which, pa.int64())
@@ -261,14 +275,25 @@ def pivot_table(found: DataFrame, key: str, shape: Shape, name: str) -> DataFram
     return rows.select(F.col("key").alias(key), *[F.col("ordinals")[i].alias(x.ordinal) for i, x in enumerate(above)], *columns)
 
 
+def damaged_records(found: DataFrame, key: str) -> DataFrame:
+    """(``key``, problem) of the records that aren't one complete JSON value: "empty", or what is wrong with them."""
+    return found.where("tab = ''").select(F.col("key").alias(key), F.col("value").alias("problem"))
+
+
 def flatten_records(df: DataFrame, key: str, text: str, shape: Shape) -> dict[str, DataFrame]:
-    """All tables of the shape from the JSON in ``text``, by name.
+    """All tables of the shape from the JSON in ``text``, by name, and under "" the damaged records.
 
-    Null, blank, damaged and non-JSON texts have no rows in any table; an empty table
-    gives empty tables; columns other than ``key`` and ``text`` aren't read.
+    Each record is parsed once: the triples are written, and all tables are pivoted from
+    them. Null, blank, damaged and non-JSON texts have no rows in any table but a reason
+    in the one of damaged records; an empty table gives empty tables; columns other than
+    ``key`` and ``text`` aren't read.
     """
-    found = record_triples(df, key, text, shape)
-    return {name: pivot_table(found, key, shape, name) for name in shape.tables()}
+    return tables_of(cut(record_triples(df, key, text, shape), "triples"), key, shape)
+
+
+def tables_of(found: DataFrame, key: str, shape: Shape) -> dict[str, DataFrame]:
+    """The tables of ``flatten_records`` from written triples."""
+    return {name: pivot_table(found, key, shape, name) for name in shape.tables()} | {"": damaged_records(found, key)}
 
 
 #: The stored responses of the text source: versions > chapters > verses > comments > notes, and sections.

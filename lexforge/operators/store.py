@@ -29,7 +29,7 @@ def fingerprint(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
-def _once(spark: SparkSession, source: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+def once(spark: SparkSession, source: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The stored table ``what`` of the corpus at ``source``."""
     at = (spark.sparkContext.applicationId, source, fingerprint(spark, source), what)
     path, schema = _stored.get(at, (None, None))
@@ -49,7 +49,7 @@ def records(spark: SparkSession, base: str) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return search_columns(table(spark, base, "rashi").repartition(n, "rec_id"))
 
-    return _once(spark, f"{base}/rashi.parquet", "records", make)
+    return once(spark, f"{base}/rashi.parquet", "records", make)
 
 
 def token_lists(df: DataFrame, *keep: str) -> DataFrame:
@@ -65,7 +65,7 @@ def vocabulary(spark: SparkSession, base: str) -> DataFrame:
         each = lists.select(F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in FIELDS])).alias("token"))
         return each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", fold(F.col("token")).alias("fkey"), "n")
 
-    return _once(spark, f"{base}/rashi.parquet", "vocabulary", make)
+    return once(spark, f"{base}/rashi.parquet", "vocabulary", make)
 
 
 def stored_postings(spark: SparkSession, base: str) -> DataFrame:
@@ -76,4 +76,4 @@ def stored_postings(spark: SparkSession, base: str) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return found.repartitionByRange(n, "fkey", "rec_id").sortWithinPartitions("fkey", "rec_id")
 
-    return _once(spark, f"{base}/rashi.parquet", "postings", make)
+    return once(spark, f"{base}/rashi.parquet", "postings", make)

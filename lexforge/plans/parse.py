@@ -6,6 +6,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lexforge.functions.numerals import VALUES
 from lexforge.functions.text import MAQAF, POINTS, PUNCTUATION, _plain_latin
 from lexforge.operators.index import CLASSES, GROUPS, LETTERS, SILENT
@@ -174,6 +178,22 @@ def resolve_soft(q: Query, top_of: Callable[[Query], dict | None]) -> Query:
     return q if inside else free
 
 
+def parse_all(df: DataFrame, text: str, names: Names) -> DataFrame:
+    """``df`` with the struct ``parsed`` (book, section, chapter, verse, words, soft, soft_fuzzy) of its ``text``.
+
+    The names are dimensions, checked before they came to the driver, and go along with
+    the tasks; each distinct text of an Arrow batch is parsed once. Null is parsed as "".
+    """
+
+    @F.pandas_udf("book string, section string, chapter int, verse int, words string, soft string, soft_fuzzy boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        known = {t: parse(t or "", names) for t in texts.drop_duplicates()}
+        found = [known[t] for t in texts]
+        return pd.DataFrame({"book": [q.book for q in found], "section": [q.section for q in found], "chapter": [q.chapter for q in found], "verse": [q.verse for q in found], "words": [q.words for q in found], "soft": [" ".join(q.soft) for q in found], "soft_fuzzy": [q.soft_fuzzy for q in found]})
+
+    return df.withColumn("parsed", run(F.coalesce(F.col(text), F.lit(""))))
+
+
 @dataclass(frozen=True)
 class FolioQuery:
     book: str = ""

@@ -34,23 +34,81 @@ def query(sql: str | None = None) -> Callable:
 # ---- nested responses (problem 4; PRJ1, SRC1-SRC6, JSN1) ----
 
 
-@query()
+def _elements_sql(j: str) -> str:
+    """(ordinal, value) of the elements of a level: a list's, an object's with numbers for keys, or one in place of a list."""
+    keys = f"json_keys({j})"
+    keyed = f"len({keys}) > 0 AND len(list_filter({keys}, lambda k: NOT regexp_matches(k, '^0*[1-9][0-9]*$'))) = 0"
+    return f"""CASE json_type({j}) WHEN 'ARRAY' THEN list_transform(CAST({j} AS JSON[]), lambda v, n: {{'n': CAST(n AS INT), 'v': v}}) WHEN 'NULL' THEN [] WHEN 'OBJECT' THEN
+      CASE WHEN len({keys}) = 0 THEN [] WHEN {keyed} THEN list_transform({keys}, lambda k: {{'n': CAST(k AS INT), 'v': json_extract({j}, '/' || k)}}) ELSE [{{'n': 1, 'v': {j}}}] END ELSE [{{'n': 1, 'v': {j}}}] END"""
+
+
+def _level_sql(name: str, above: str, keys: str, j: str, ordinal: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT {keys}, x.n AS {ordinal}, x.v AS j FROM (SELECT {keys}, unnest({_elements_sql('j')}) AS x FROM (SELECT {keys}, {j} AS j FROM {above}) WHERE j IS NOT NULL))"
+
+
+_OPEN = "CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') ELSE j END"
+OPENED = "(SELECT raw_id, trim(text, chr(65279)) AS j FROM raw_text)"
+for _ in range(4):
+    OPENED = f"(SELECT raw_id, {_OPEN} AS j FROM {OPENED})"
+OPENED = f"(SELECT raw_id, CASE WHEN json_type(j, '$.versions') IS NULL AND json_type(j, '$.alts') IS NULL AND json_type(j, '$.data') IS NOT NULL THEN CASE WHEN json_type(j, '$.data') = 'VARCHAR' THEN CAST(json_extract_string(j, '$.data') AS JSON) ELSE json_extract(j, '$.data') END ELSE CAST(j AS JSON) END AS j FROM {OPENED} WHERE json_valid(j))"
+NESTED = "WITH " + ", ".join((
+    _level_sql("versions", OPENED, "raw_id", "json_extract(j, '$.versions')", "ver"),
+    _level_sql("chapters", "versions", "raw_id, ver", "json_extract(j, '$.text')", "c"),
+    _level_sql("verses", "chapters", "raw_id, ver, c", "j", "v"),
+    _level_sql("comments", "verses", "raw_id, ver, c, v", "j", "i"),
+    _level_sql("notes", "comments", "raw_id, ver, c, v, i", "json_extract(j, '$.notes')", "n"),
+    _level_sql("sections", OPENED, "raw_id", "json_extract(j, '$.alts.Parasha.nodes')", "s"),
+))
+
+
+def _scalar_sql(path: str, own: bool = False) -> str:
+    """The scalar at ``path`` of an element as text; of a scalar element itself if ``own``."""
+    at = f"CASE WHEN json_type(j, '{path}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(j, '{path}') END"
+    return f"CASE WHEN json_type(j) NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(j, '$') ELSE {at} END" if own else at
+
+
+SAID = f"regexp_replace({_scalar_sql('$.text', True)}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '', 'g') <> ''"
+TEXT_AT = "$.text"
+#: The columns of each table of nested responses, as SQL; "" for the text of an element.
+NESTED_COLUMNS = {
+    "versions": ("raw_id, ver", {"language": "$.language", "version_title": "$.versionTitle", "license": "$.license"}),
+    "chapters": ("raw_id, ver, c", {}),
+    "verses": ("raw_id, ver, c, v", {}),
+    "comments": ("raw_id, ver, c, v, i", {"text": "", "comment_id": "$.id"}),
+    "notes": ("raw_id, ver, c, v, i, n", {"text": "", "mark": "$.mark", "by_hand": "$.by.hand", "by_sure": "$.by.sure"}),
+    "sections": ("raw_id, s", {"title": "$.title", "whole_ref": "$.wholeRef"}),
+}
+
+
+@query(f"{NESTED} SELECT raw_id, ver, c, v, i, 0 AS n FROM comments WHERE {SAID} UNION ALL SELECT raw_id, ver, c, v, i, n FROM notes WHERE {SAID}")
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return nested.spoken(table(spark, base, "raw_text", "raw_id", "text"), "raw_id", "text")
 
 
+def _triples(spark: SparkSession, base: str) -> DataFrame:
+    """The triples of all responses, parsed once a session for all their tables."""
+    return store.once(spark, f"{base}/raw_text.parquet", "triples", lambda: nested.record_triples(table(spark, base, "raw_text", "raw_id", "text"), "raw_id", "text", nested.RESPONSE))
+
+
 def _response_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, base: str) -> DataFrame:
-        return nested.flatten_records(table(spark, base, "raw_text", "raw_id", "text"), "raw_id", "text", nested.RESPONSE)[name]
+        return nested.tables_of(_triples(spark, base), "raw_id", nested.RESPONSE)[name]
 
     run.__name__ = f"p4_{name}"
-    return query()(run)
+    keys, columns = NESTED_COLUMNS[name]
+    return query(f"{NESTED} SELECT {', '.join([keys, *[f'{_scalar_sql(p or TEXT_AT, not p)} AS {c}' for c, p in columns.items()]])} FROM {name}")(run)
 
 
 for _name in nested.RESPONSE.tables():
     _response_table(_name)
 
 
+@query(f"SELECT raw_id FROM raw_text WHERE raw_id NOT IN (SELECT raw_id FROM {OPENED})")
+def p4_damaged(spark: SparkSession, base: str) -> DataFrame:
+    """The responses that aren't complete JSON; ``nested.damaged_records`` also says why."""
+    return nested.tables_of(_triples(spark, base), "raw_id", nested.RESPONSE)[""].select("raw_id")
+
+
 # ---- text functions (STR1-STR16, PRJ7-PRJ10) ----
 
 
@@ -633,7 +691,7 @@ def keep_first_query(spark: SparkSession, base: str) -> DataFrame:
 # ---- transliteration and generated queries (TRN1-TRN11, EVL1-EVL2) ----
 
 STYLES = ("000_simple_sefardi", "075_artscroll_sephardic", "010_simple_ashkenazi")
-BRAILLE = {he: T.styles()["310_braille"].consonants[n][1] for he, n in T.LETTERS.items()}
+BRAILLE = {he: T.styles()["310_braille"].signs[n] for he, n in T.LETTERS.items()}
 
 
 @query(f"SELECT rec_id, translate({X.normalize_sql('dh')}, '{''.join(BRAILLE)}', '{''.join(BRAILLE.values())}') AS cells FROM rashi")
@@ -645,8 +703,7 @@ def translit_letters(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def translit_styles(spark: SparkSession, base: str) -> DataFrame:
     """TRN1-TRN7, TRN9-TRN11: the lemmas in all fifteen styles."""
-    df = table(spark, base, "rashi", "rec_id", "dh")
-    return df.select("rec_id", *[T.transliterated(F.col("dh"), s).alias(s) for s in T.styles()])
+    return table(spark, base, "rashi", "rec_id", "dh").select("rec_id", T.in_styles(F.col("dh")).alias("x")).select("rec_id", "x.*")
 
 
 @query()
@@ -723,3 +780,100 @@ def smart_search(spark: SparkSession, base: str) -> DataFrame:
     """PRS1-PRS9, RES1, FTX6: the first book's name and a word through parser, hypothesis check and search."""
     names = names_of(spark, base)
     return box_search(spark, base, f"{min(names.books.values()).split()[0]} ki", names).select("rec_id", "b", "c", "v", "i", "score")
+
+
+BOOKS_SQL = "SELECT DISTINCT b, bh FROM sections"
+#: (kind, spelled, key, book, section): what books and sections may be called, by spelling and by folded key.
+CALLED_SQL = f"""SELECT DISTINCT kind, spelled, key, book, section FROM (
+  SELECT 'book' AS kind, lower(w) AS spelled, {index.fold_sql('lower(w)')} AS key, b AS book, '' AS section FROM (SELECT b, unnest(list_append(regexp_extract_all(b, '[^\\d\\s_''\\pP]+'), replace(bh, ' ', ''))) AS w FROM ({BOOKS_SQL}))
+  UNION ALL SELECT 'section', said, array_to_string(list_transform(string_split(said, ' '), lambda w: {index.fold_sql('w')}), '|'), b, p
+  FROM (SELECT b, p, lower({X.normalize_sql("replace(x, '-', ' ')")}) AS said FROM (SELECT b, p, unnest([p, ph]) AS x FROM sections)) WHERE len(string_split(said, ' ')) <= 2)"""
+
+
+def _named_sql(kind: str) -> str:
+    """(i, n, book, section) of the runs of query tokens that name one book or section: by spelling, else by the nearest key."""
+    return f"""SELECT query, i, n, arg_min(book, how) AS book, arg_min(section, how) AS section, arg_min(fuzzy, how) AS fuzzy FROM (
+      SELECT query, i, n, 1 AS how, min(c.book) AS book, min(c.section) AS section, false AS fuzzy FROM runs JOIN called c ON c.kind = '{kind}' AND c.spelled = said GROUP BY query, i, n HAVING count(DISTINCT (c.book, c.section)) = 1
+      UNION ALL SELECT query, i, n, 2, min(book), min(section), min(d) > 0 FROM (
+        SELECT r.query, r.i, r.n, c.book, c.section, levenshtein(r.key, c.key) AS d, min(levenshtein(r.key, c.key)) OVER (PARTITION BY r.query, r.i, r.n) AS best
+        FROM runs r JOIN called c ON c.kind = '{kind}' AND c.key <> '' AND length(r.key) >= 3 AND levenshtein(r.key, c.key) <= CASE WHEN length(r.key) >= 6 THEN 2 ELSE 1 END)
+      WHERE d = best GROUP BY query, i, n HAVING count(DISTINCT (book, section)) = 1) GROUP BY query, i, n"""
+
+
+PARSED_WITH = f"""WITH called AS MATERIALIZED ({CALLED_SQL}), said AS MATERIALIZED (SELECT DISTINCT query, list_filter(string_split({X.normalize_sql('query')}, ' '), lambda t: t <> '') AS ts FROM queries_partial),
+runs AS MATERIALIZED (SELECT query, i, n, array_to_string(list_transform(ts[i:i + n - 1], lambda w: lower(w)), ' ') AS said, array_to_string(list_transform(ts[i:i + n - 1], lambda w: {index.fold_sql('lower(w)')}), '|') AS key
+  FROM (SELECT query, ts, unnest(range(1, len(ts) + 1)) AS i FROM said), (VALUES (1), (2)) AS l(n) WHERE i + n - 1 <= len(ts)),
+taken AS (SELECT query, arg_min((i, n, book, section, fuzzy), (i, o)) AS x FROM (
+  SELECT query, i, n, book, section, fuzzy, 1 AS o FROM ({_named_sql('section')}) WHERE n = 2 UNION ALL SELECT query, i, n, book, section, fuzzy, 2 FROM ({_named_sql('book')}) WHERE n = 1 AND i = 1
+  UNION ALL SELECT query, i, n, book, section, fuzzy, 3 FROM ({_named_sql('section')}) WHERE n = 1 AND i = 1) GROUP BY query)"""
+PARSED_ROWS = """SELECT s.query, coalesce(x[3], '') AS book, coalesce(x[4], '') AS section, coalesce(x[5], false) AS soft_fuzzy, array_to_string(CASE WHEN x IS NULL THEN ts ELSE list_concat(ts[1:x[1] - 1], ts[x[1] + x[2]:]) END, ' ') AS words FROM said s LEFT JOIN taken USING (query)"""
+
+
+@query(f"{PARSED_WITH} {PARSED_ROWS}")
+def parsed_queries(spark: SparkSession, base: str) -> DataFrame:
+    """PRS1-PRS9, JN7, RES2, RES3: every stored query through the query box's parser, with the corpus' own names."""
+    asked = table(spark, base, "queries_partial", "query").distinct()
+    return parse.parse_all(asked, "query", names_of(spark, base)).select("query", "parsed.book", "parsed.section", "parsed.soft_fuzzy", "parsed.words")
+
+
+# ---- the whole pipeline for a query set (EVL3) ----
+
+
+def pipeline_hits(spark: SparkSession, base: str) -> DataFrame:
+    """(qid, rec_id, score): what the query box returns for every stored query, the best 60 each.
+
+    Parser, hypothesis check and search as for one query, in one batch: each query is
+    searched as parsed, within its filters, and, where its filter is in doubt, also as
+    free text; the filter stays if the best free record lies within it. Queries that are
+    all filter browse it by popularity, once for each distinct filter. A chapter and
+    verse keep the records there at 1 at least.
+    """
+    asked = table(spark, base, "queries_partial", "id", "query").distinct().select(F.col("id").alias("id"), "query")
+    flat = cut(parse.parse_all(asked, "query", names_of(spark, base)).select("id", "parsed.*"), "parsed")
+    doubt = (F.col("soft") != "") & (F.col("chapter") == 0) & (F.col("verse") == 0) & ((F.col("words") != "") | F.col("soft_fuzzy"))
+    both = flat.select(F.concat(F.lit("kept:"), "id").alias("qid"), F.col("words").alias("said"), "book", "section", "chapter", "verse").unionByName(
+        flat.where(doubt).select(F.concat(F.lit("free:"), "id").alias("qid"), F.concat_ws(" ", "soft", "words").alias("said"), F.lit("").alias("book"), F.lit("").alias("section"), F.lit(0).alias("chapter"), F.lit(0).alias("verse"))
+    )
+    tokens = both.select("qid", F.explode(F.array_distinct(F.split(F.lower("said"), " "))).alias("qtoken")).where("qtoken <> ''")
+    scopes = both.select("qid", *[F.nullif(F.col(a), F.lit(x)).alias(c) for a, c, x in (("book", "b", ""), ("section", "p", ""), ("chapter", "c", 0), ("verse", "v", 0))])
+    pop = F.round(1.0 + N.pop_boost(F.col("lk")), 6)
+    records = store.records(spark, base)
+    lists = store.token_lists(records.withColumn("pop", N.pop_boost(F.col("lk"))), "rec_id", "pop", "b", "p", "c", "v")
+    found = blocks.search_all(tokens, lists, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", scopes, ("b", "p", "c", "v")).select("qid", "rec_id", "score")
+    place = records.select("rec_id", "b", "p", "c", "v", pop.alias("score"))
+    wanted = both.join(scopes, "qid").select("qid", "said", "b", "p", "c", "v")
+    # One row for each distinct filter; a pin is a filter whose records stay although the words miss.
+    browsed = wanted.where("said = '' or (c is not null and v is not null)")
+    kinds = browsed.select("b", "p", "c", "v").distinct().withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"]))
+    same = [(F.col(f"k.{x}").isNull()) | (F.col(f"k.{x}") == F.col(f"r.{x}")) for x in "pcv"]
+    held = place.alias("r").join(kinds.alias("k"), (F.col("k.b") == F.col("r.b")) & same[0] & same[1] & same[2]).select("scope", "rec_id", "score")
+    pins = browsed.withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"])).select("qid", "scope").join(search.top_by(held, "scope", "score", "rec_id", evaluate.LIMIT), "scope").select("qid", "rec_id", "score")
+    hits = cut(search.top_by(found.unionByName(pins).groupBy("qid", "rec_id").agg(F.max("score").alias("score")), "qid", "score", "rec_id", evaluate.LIMIT), "hits")
+    best = search.top_by(hits.where(F.startswith("qid", F.lit("free:"))), "qid", "score", "rec_id", 1).select(F.substring("qid", 6, 1 << 30).alias("id"), "rec_id").join(place.select("rec_id", "b", "p"), "rec_id").select("id", F.col("b").alias("top_b"), F.col("p").alias("top_p"))
+    inside = F.when(F.col("section") != "", F.col("top_p") == F.col("section")).otherwise(F.col("top_b") == F.col("book"))
+    chosen = flat.join(best, "id", "left").select("id", F.when(doubt & F.col("top_b").isNotNull() & ~F.coalesce(inside, F.lit(False)), "free:").otherwise("kept:").alias("way"))
+    return chosen.select(F.concat("way", "id").alias("qid"), "id").join(hits, "qid").select(F.col("id").alias("qid"), "rec_id", "score")
+
+
+WAYS = f"""{PARSED_WITH}, parsed AS MATERIALIZED ({PARSED_ROWS}),
+p AS MATERIALIZED (SELECT DISTINCT q.id, p.*, book <> '' AND (words <> '' OR soft_fuzzy) AS doubt, ts FROM (SELECT DISTINCT id, query FROM queries_partial) q JOIN parsed p USING (query) JOIN said USING (query)),
+posted AS MATERIALIZED ({POSTED}), asked AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'kept:' || id AS qid, lower(unnest(string_split(words, ' '))) AS qtoken FROM p WHERE words <> '' UNION ALL SELECT 'free:' || id, lower(unnest(ts)) FROM p WHERE doubt)),
+found AS MATERIALIZED ({FOUND}), covered AS MATERIALIZED ({COVERED}), scored AS MATERIALIZED ({scored_sql()}),
+within AS MATERIALIZED (SELECT s.qid, s.rec_id, s.score FROM scored s JOIN p ON s.qid = 'kept:' || p.id JOIN rashi r USING (rec_id) WHERE (book = '' OR r.b = book) AND (section = '' OR r.p = section)
+  UNION ALL SELECT qid, rec_id, score FROM scored WHERE starts_with(qid, 'free:')
+  UNION ALL SELECT 'kept:' || p.id, r.rec_id, round(1.0 + {N.pop_boost_sql('r.lk')}, 6) FROM p JOIN rashi r ON r.b = p.book AND (section = '' OR r.p = section) WHERE words = ''),
+best AS (SELECT qid, arg_min((r.b, r.p), (-score, rec_id)) AS x FROM within JOIN rashi r USING (rec_id) WHERE starts_with(qid, 'free:') GROUP BY qid),
+chosen AS (SELECT p.id, CASE WHEN doubt AND x IS NOT NULL AND NOT coalesce(CASE WHEN section <> '' THEN x[2] = section ELSE x[1] = book END, false) THEN 'free:' ELSE 'kept:' END || p.id AS qid FROM p LEFT JOIN best ON best.qid = 'free:' || p.id),
+hits AS MATERIALIZED (SELECT * FROM (SELECT c.id AS qid, w.rec_id, w.score, row_number() OVER (PARTITION BY c.id ORDER BY w.score DESC, w.rec_id) AS rn FROM chosen c JOIN within w USING (qid)) WHERE rn <= 60)"""
+
+
+@query(f"{WAYS} SELECT qid, rank, tie FROM ({RESULTS})")
+def pipeline_rank(spark: SparkSession, base: str) -> DataFrame:
+    """EVL3, RES1, FTX6: the rank of every stored query's target in what the query box returns."""
+    return evaluate.target_ranks(pipeline_hits(spark, base), _gold(spark, base)).select("qid", "rank", "tie")
+
+
+@query(f"{WAYS}, results AS (SELECT *, {BUCKET} AS bucket FROM ({RESULTS})) SELECT style, variant, bucket, CAST(grouping(style, variant, bucket) AS BIGINT) AS gid, {METRICS} FROM results GROUP BY GROUPING SETS ((), (style), (variant), (bucket))")
+def pipeline_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """EVL3, EVL4: metrics of the whole pipeline."""
+    return evaluate.by_groups(evaluate.target_ranks(pipeline_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords"))), "style", "variant", "bucket")
