@@ -18,6 +18,10 @@ LINKS_SCHEMA = "array<struct<anchorRef: string>>"
 CALENDAR_SCHEMA = "calendar_items array<struct<title: struct<en: string>, displayValue: struct<en: string>>>"
 
 
+#: Tasks over which the records of one book are dealt where its sections can't be broadcast.
+SALT = 64
+
+
 def unnest(df: DataFrame, nested: str, ordinals: tuple[str, ...], value: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each innermost element, with 1-based ordinals of every level.
 
@@ -65,12 +69,17 @@ def section_join(records: DataFrame, sections: DataFrame, most: int = 100_000) -
     The first section in order whose bounds hold it, inclusive; the book's last section
     if none does; null where the book has none. A book's intervals come as one array
     (no row multiplies, however they overlap): the dimension is checked against ``most``
-    rows before it is broadcast, and beyond that the join is a shuffled one.
+    rows before it is broadcast; beyond that the join is a shuffled one, and the records
+    of a book are dealt over ``SALT`` tasks, each of which gets the book's intervals.
     """
     bounds = F.sort_array(F.collect_list(F.struct("ord_no", "start_c", "start_v", "end_c", "end_v", "p", "ph"))).alias("_s")
     dim = sections.groupBy("b").agg(bounds)
-    small = sections.limit(most + 1).count() <= most
-    joined = records.drop("p", "ph").join(F.broadcast(dim) if small else dim, "b", "left")
+    few = sections.limit(most + 1).count() <= most
+    if few:
+        joined = records.drop("p", "ph").join(F.broadcast(dim), "b", "left")
+    else:
+        salted = dim.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = records.drop("p", "ph").withColumn("_z", F.pmod(F.xxhash64("c", "v"), F.lit(SALT)).cast("int")).join(salted, ["b", "_z"], "left").drop("_z")
     here = F.struct(F.col("c").alias("c"), F.col("v").alias("v"))
 
     def holds(s: Column) -> Column:
@@ -109,12 +118,25 @@ def with_continuation(main: DataFrame, more: DataFrame) -> DataFrame:
     return main.withColumn("cx", F.lit(None).cast("int")).unionByName(more.withColumn("cx", F.lit(1)), allowMissingColumns=True)
 
 
-def manifest(records: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """Per book: file name and record count, with its authorship note; and the total, book null."""
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def manifest(records: DataFrame, notes: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Per book: file name and record count, with its authorship note; and the total, book null.
+
+    With ``expected`` (b, ...) also the books that should be there and have no record:
+    they are skipped, and the manifest says so (``status``), and the others stay.
+    """
     counted = records.rollup("b").agg(F.count(F.lit(1)).alias("n_records"), F.grouping("b").alias("is_total"))
+    if expected is not None:
+        missing = expected.select("b").distinct().join(records.select("b").distinct(), "b", "left_anti")
+        counted = counted.unionByName(missing.select("b", F.lit(0).cast("bigint").alias("n_records"), F.lit(0).cast("tinyint").alias("is_total")))
     if notes is not None:
-        counted = counted.join(F.broadcast(notes), "b", "left")
-    return counted.withColumn("file", F.when(F.col("is_total") == 0, F.concat(F.replace("b", F.lit(" "), F.lit("_")), F.lit(".json"))))
+        counted = counted.join(small(notes.select("b", "note", "from_d", "from_a")), "b", "left")
+    status = F.when(F.col("n_records") > 0, "written").otherwise("skipped: no records")
+    return counted.withColumn("status", F.when(F.col("is_total") == 0, status)).withColumn("file", F.when((F.col("is_total") == 0) & (F.col("n_records") > 0), F.concat(F.replace("b", F.lit(" "), F.lit("_")), F.lit(".json"))))
 
 
 def write_shards(records: DataFrame, path: str) -> DataFrame:
@@ -130,7 +152,7 @@ def first_seen(df: DataFrame, key: str, position: str, *names: str) -> DataFrame
 
 def with_note(records: DataFrame, notes: DataFrame) -> DataFrame:
     """Authorship note (b, note, from_d, from_a) where it applies: everywhere in the book, or from a place on; always on cx rows."""
-    joined = records.join(F.broadcast(notes), "b", "left")
+    joined = records.join(small(notes), "b", "left")
     from_here = F.struct(F.col("d").alias("d"), F.col("a").alias("a")) >= F.struct(F.col("from_d").alias("d"), F.col("from_a").alias("a"))
     return joined.withColumn("note", F.when(F.col("from_d").isNull() | from_here | (F.col("cx") == 1), F.col("note"))).drop("from_d", "from_a")
 

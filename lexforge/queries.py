@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge import known
 from lexforge.functions import numerals as N
 from lexforge.functions import text as X
 from lexforge.functions import translit as T
 from lexforge.operators import blocks, evaluate, index, ingest, nested, resolve, sample, search, store
 from lexforge.plans import parse
-from lexforge.plans.lineage import cut
+from lexforge.plans.lineage import cut, place
+from lexforge.sources import connectors
 from lexforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,13 +173,6 @@ def word_prefix_places(spark: SparkSession, base: str) -> DataFrame:
     return df.select("rec_id", X.escape_html(F.col("t")).alias("escaped"), X.word_match(X.normalize(F.col("t")), X.normalize(F.col("dh"))).cast("bigint").alias("place"))
 
 
-@query()
-def highlight_marks(spark: SparkSession, base: str) -> DataFrame:
-    """STR6, STR9: the top of a search with its lemma marked."""
-    top = search.search(store.records(spark, base), search.Query(lemma="את"))
-    return top.select("rec_id", "score", X.highlight(F.col("t"), ["את"]).alias("marked"))
-
-
 # ---- numerals, references, boosts (STR7-STR8, PRJ2, PRJ8, NUM1-NUM3, RES5) ----
 
 
@@ -358,6 +354,64 @@ def event_fields(spark: SparkSession, base: str) -> DataFrame:
     return df.select("event_id", "event_type", k.alias("k"), F.date_add(day, 7).alias("next_week"), F.year("ts").cast("bigint").alias("y"), F.month("ts").cast("bigint").alias("m"), F.day("ts").cast("bigint").alias("d"))
 
 
+# ---- sources and sinks, by what they write and read again (SRC1-SRC10, SNK1-SNK4) ----
+
+
+@query("SELECT fol_id, b, d, a, l, i, dh, t, vt, lk, cx FROM folio")
+def record_file(spark: SparkSession, base: str) -> DataFrame:
+    """SRC8, SNK1, AGG13: the folio records as one JSON array, read again by schema."""
+    df = table(spark, base, "folio", "fol_id", "b", "d", "a", "l", "i", "dh", "t", "vt", "lk", "cx")
+    path = f"{place(spark, 'record-file')}.json"
+    connectors.write_json_array(df, path)
+    return connectors.read_records(spark, path, df.schema)
+
+
+@query("SELECT b, count(*) AS n_records, CAST(sum(length(t)) AS BIGINT) AS signs FROM rashi GROUP BY b")
+def shard_files(spark: SparkSession, base: str) -> DataFrame:
+    """SNK2: one folder a book, read again."""
+    path = place(spark, "shards")
+    ingest.write_shards(table(spark, base, "rashi", "b", "rec_id", "t"), path)
+    return spark.read.parquet(path).groupBy("b").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.length("t")).alias("signs"))
+
+
+@query(LINKED)
+def landed_links(spark: SparkSession, base: str) -> DataFrame:
+    """SRC1, SRC2, SRC6: a link response as it lands, one JSON array, read leniently and counted."""
+    path = f"{place(spark, 'links')}.json"
+    connectors.write_json_array(table(spark, base, "links", "anchor_ref").select(F.col("anchor_ref").alias("anchorRef")), path)
+    return ingest.link_counts(connectors.links(spark, path))
+
+
+@query("SELECT p, ph, CAST(row_number() OVER (PARTITION BY b ORDER BY ord_no) AS INT) AS ord_no, start_c, start_v, end_c, end_v FROM sections")
+def landed_sections(spark: SparkSession, base: str) -> DataFrame:
+    """SRC4, SRC5: index responses as they land, one a book."""
+    folder = place(spark, "index")
+    node = F.struct("ord_no", F.col("p").alias("title"), F.col("ph").alias("heTitle"), F.col("whole_ref").alias("wholeRef"))
+    books = table(spark, base, "sections").groupBy("b").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    nested_ = F.struct(F.struct(F.struct("nodes").alias("Parasha")).alias("alts"))
+    books.select(F.to_json(nested_["alts"].dropFields("x")).alias("a")).select(F.concat(F.lit('{"alts":'), "a", F.lit("}")).alias("value")).repartition(64).write.option("maxRecordsPerFile", 1).text(folder)
+    return connectors.sections(spark, folder)
+
+
+@query("SELECT DISTINCT id, query, style, variant, expected.b AS b, expected.c AS c, expected.v AS v, expected.i AS i, dhWords, lk FROM queries_partial")
+def query_files(spark: SparkSession, base: str) -> DataFrame:
+    """SRC10, SNK4: the query set as one JSON array, read again."""
+    path = f"{place(spark, 'queries')}.json"
+    connectors.write_json_array(table(spark, base, "queries_partial", "id", "query", "style", "variant", "expected", "dhWords", "lk").distinct(), path)
+    return connectors.read_queries(spark, path).select("id", "query", "style", "variant", "expected.*", "dhWords", "lk")
+
+
+@query("""SELECT b, count(rec_id) AS n_records, CASE WHEN count(rec_id) > 0 THEN 'written' ELSE 'skipped: no records' END AS status, CASE b WHEN (SELECT min(b) FROM rashi) THEN 'by another hand' END AS note
+FROM (SELECT b, rec_id FROM rashi UNION ALL SELECT b || ' II', NULL FROM sections) GROUP BY b""")
+def shard_report(spark: SparkSession, base: str) -> DataFrame:
+    """SNK3: the manifest with notes; books without a record are skipped and reported."""
+    records = table(spark, base, "rashi", "b")
+    first = records.agg(F.min("b")).first()[0]
+    notes = spark.createDataFrame([(first, "by another hand", None, None)], "b string, note string, from_d int, from_a int")
+    expected = table(spark, base, "sections", "b").select(F.concat("b", F.lit(" II")).alias("b")).unionByName(records)
+    return ingest.manifest(records, notes, expected).where("is_total = 0").select("b", "n_records", "status", "note")
+
+
 # ---- search (FLT3-FLT9, SCR1-SCR2, SRT1, JN5) ----
 
 
@@ -394,6 +448,13 @@ def lemma_ladder_topk(spark: SparkSession, base: str) -> DataFrame:
     return search.search(store.records(spark, base), search.Query(lemma="את")).select("rec_id", "score")
 
 
+@query("SELECT rec_id, score, regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(א[' || " + X.q("".join("\\" + c if c in "[](){}.?!" else c for c in X.POINTS + X.PUNCTUATION)) + " || ']*ת)', '<mark>\\1</mark>', 'g') AS marked FROM (" + ladder_sql("את", "true", "LIMIT 60") + ") JOIN rashi USING (rec_id)")
+def highlight_marks(spark: SparkSession, base: str) -> DataFrame:
+    """STR6, STR9: the top of a search with its lemma marked."""
+    top = search.search(store.records(spark, base), search.Query(lemma="את"))
+    return top.select("rec_id", "score", X.highlight(F.col("t"), ["את"]).alias("marked"))
+
+
 @query(f"SELECT rec_id, round(1.0 + {N.pop_boost_sql('lk')}, 6) AS score FROM rashi WHERE b = (SELECT min(b) FROM rashi) AND c = 1 ORDER BY score DESC, rec_id")
 def fielded_filter(spark: SparkSession, base: str) -> DataFrame:
     """FLT3, FLT6."""
@@ -448,6 +509,22 @@ def fuzzy_alias_unique(spark: SparkSession, base: str) -> DataFrame:
     return resolve.fuzzy_unique(asked, _registry(spark, base)).select("word", "entity", F.col("d").cast("bigint").alias("d"))
 
 
+@query(f"""WITH reg AS MATERIALIZED ({ALIASED}), w AS MATERIALIZED (SELECT DISTINCT unnest({index.query_tokens_sql('query')}) AS word FROM queries_partial),
+f AS MATERIALIZED (SELECT word, {index.fold_sql('word')} AS key FROM w),
+spelled AS (SELECT word, min(b) AS entity FROM (SELECT DISTINCT b, unnest({index.tokens_sql('b')}) AS word FROM rashi) GROUP BY word HAVING count(DISTINCT b) = 1),
+near AS (SELECT key, min(entity) AS entity FROM (SELECT f.key, r.entity, r.ambiguous, levenshtein(f.key, r.key) AS d, min(levenshtein(f.key, r.key)) OVER (PARTITION BY f.key) AS best FROM (SELECT DISTINCT key FROM f) f, reg r
+  WHERE length(f.key) >= 3 AND levenshtein(f.key, r.key) <= CASE WHEN length(f.key) >= 6 THEN 2 ELSE 1 END) WHERE d = best GROUP BY key HAVING count(DISTINCT entity) = 1 AND NOT bool_or(ambiguous))
+SELECT word, arg_min(entity, o) AS entity, arg_min(how, o) AS how FROM (
+  SELECT word, entity, 'exact' AS how, 1 AS o FROM w JOIN spelled USING (word) UNION ALL SELECT word, entity, 'folded', 2 FROM f JOIN reg ON reg.key = f.key AND NOT ambiguous AND length(f.key) >= 3
+  UNION ALL SELECT word, entity, 'fuzzy', 3 FROM f JOIN near USING (key)) GROUP BY word""")
+def resolve_words(spark: SparkSession, base: str) -> DataFrame:
+    """JN7, RES3: query words that name a book: by spelling, else by folded key, else by the nearest key."""
+    asked = table(spark, base, "queries_partial", "query").select(F.explode(index.query_tokens(F.col("query"))).alias("word")).distinct()
+    said = table(spark, base, "rashi", "b").distinct().select("b", F.explode(index.tokens(F.col("b"))).alias("word"))
+    spelled = said.groupBy("word").agg(F.min("b").alias("entity"), F.count_distinct("b").alias("n")).where("n = 1").drop("n")
+    return resolve.resolve(asked, spelled, _registry(spark, base))
+
+
 @query("""SELECT DISTINCT coalesce(s.p, trim(x.part)) AS p, x.adjacent FROM (
   SELECT unnest(string_split(upper(p), '-')) AS part, ord_no % 2 = 0 AS adjacent FROM sections WHERE p IS NOT NULL) x
 LEFT JOIN (SELECT DISTINCT p FROM sections) s ON regexp_replace(lower(x.part), '[^a-z]', '', 'g') = regexp_replace(lower(s.p), '[^a-z]', '', 'g')""")
@@ -694,6 +771,40 @@ STYLES = ("000_simple_sefardi", "075_artscroll_sephardic", "010_simple_ashkenazi
 BRAILLE = {he: T.styles()["310_braille"].signs[n] for he, n in T.LETTERS.items()}
 
 
+def _values_sql(rows: tuple[tuple, ...], *columns: str) -> str:
+    """The rows as literal SQL."""
+    each = ", ".join("(" + ", ".join("NULL" if x is None else X.q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {each}) AS v({', '.join(columns)})"
+
+
+@query(_values_sql(known.KNOWN_WORDS, "word", "style", "text", "html"))
+def translit_known(spark: SparkSession, base: str) -> DataFrame:
+    """TRN1-TRN11: known words in all styles, syllables parted, stress shown as each style does."""
+    words = spark.createDataFrame([r[:2] for r in known.KNOWN_WORDS], "word string, style string")
+    each = [words.where(F.col("style") == s).select("word", "style", T.full(F.col("word"), s).alias("x")) for s in T.styles()]
+    return reduce(DataFrame.unionByName, each).select("word", "style", "x.text", "x.html")
+
+
+@query(_values_sql(known.KNOWN_BOXES, "raw", "book", "section", "chapter", "verse", "words"))
+def parse_known(spark: SparkSession, base: str) -> DataFrame:
+    """PRS1-PRS9: Hebrew and Latin texts of the query box, with numerals, announced sections and near names."""
+    names = parse.Names(list(known.BOX_BOOKS), list(known.BOX_SECTIONS))
+    return parse.parse_all(spark.createDataFrame([(r[0],) for r in known.KNOWN_BOXES], "raw string"), "raw", names).select("raw", "parsed.book", "parsed.section", "parsed.chapter", "parsed.verse", "parsed.words")
+
+
+@query(_values_sql(known.KNOWN_FOLIOS, "raw", "book", "leaf", "side", "words"))
+def folio_known(spark: SparkSession, base: str) -> DataFrame:
+    """RES4: folio places as typed."""
+    found = [(r[0], parse.parse_folio(r[0], list(connectors.TRACTATES))) for r in known.KNOWN_FOLIOS]
+    return spark.createDataFrame([(raw, q.book, q.leaf, q.side, q.words) for raw, q in found], "raw string, book string, leaf int, side int, words string")
+
+
+@query(_values_sql(known.KNOWN_NUMERALS, "token", "value"))
+def numerals_known(spark: SparkSession, base: str) -> DataFrame:
+    """STR7: numerals, and tokens that are none."""
+    return spark.createDataFrame([r[:1] for r in known.KNOWN_NUMERALS], "token string").select("token", N.parse_numeral(F.col("token")).alias("value"))
+
+
 @query(f"SELECT rec_id, translate({X.normalize_sql('dh')}, '{''.join(BRAILLE)}', '{''.join(BRAILLE.values())}') AS cells FROM rashi")
 def translit_letters(spark: SparkSession, base: str) -> DataFrame:
     """TRN8: letter mode of unpointed text."""
@@ -718,6 +829,15 @@ def _sampled_lemmas(spark: SparkSession, base: str, most: int) -> DataFrame:
     return sample.interleaved(sample.terciles(usable, "lk", "rec_id", "bucket"), "tier", "rec_id", "bucket", most)
 
 
+@query(f"""SELECT rec_id, bucket, tier, place, text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY k, tier) AS INT) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY bucket, tier ORDER BY md5('1:' || rec_id), rec_id) AS k FROM (
+    SELECT *, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY coalesce(lk, 0) DESC, rec_id) - 1) / ceil(count(*) OVER (PARTITION BY bucket) / 3)) AS INT) AS tier FROM (
+      SELECT a.rec_id, lk, array_to_string(m, ' ') AS text, CASE WHEN len(m) <= 2 THEN '1-2' WHEN len(m) <= 4 THEN '3-4' ELSE '5+' END AS bucket FROM ({ALIGNED}) a JOIN rashi USING (rec_id) WHERE len(list_filter(m, lambda x: x IS NULL)) = 0)))) WHERE place <= 20""")
+def sampled_lemmas(spark: SparkSession, base: str) -> DataFrame:
+    """EVL1, EVL2: the pointed lemmas that queries are made of, spread over buckets and popularity."""
+    return _sampled_lemmas(spark, base, 20).select("rec_id", "bucket", "tier", "place", F.array_join("m", " ").alias("text"))
+
+
 @query()
 def generated_queries(spark: SparkSession, base: str) -> DataFrame:
     """EVL1: sampled lemmas in three styles, clean and sloppy, each text of a record once."""
@@ -840,16 +960,16 @@ def pipeline_hits(spark: SparkSession, base: str) -> DataFrame:
     records = store.records(spark, base)
     lists = store.token_lists(records.withColumn("pop", N.pop_boost(F.col("lk"))), "rec_id", "pop", "b", "p", "c", "v")
     found = blocks.search_all(tokens, lists, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", scopes, ("b", "p", "c", "v")).select("qid", "rec_id", "score")
-    place = records.select("rec_id", "b", "p", "c", "v", pop.alias("score"))
+    spots = records.select("rec_id", "b", "p", "c", "v", pop.alias("score"))
     wanted = both.join(scopes, "qid").select("qid", "said", "b", "p", "c", "v")
     # One row for each distinct filter; a pin is a filter whose records stay although the words miss.
     browsed = wanted.where("said = '' or (c is not null and v is not null)")
     kinds = browsed.select("b", "p", "c", "v").distinct().withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"]))
     same = [(F.col(f"k.{x}").isNull()) | (F.col(f"k.{x}") == F.col(f"r.{x}")) for x in "pcv"]
-    held = place.alias("r").join(kinds.alias("k"), (F.col("k.b") == F.col("r.b")) & same[0] & same[1] & same[2]).select("scope", "rec_id", "score")
+    held = spots.alias("r").join(kinds.alias("k"), (F.col("k.b") == F.col("r.b")) & same[0] & same[1] & same[2]).select("scope", "rec_id", "score")
     pins = browsed.withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"])).select("qid", "scope").join(search.top_by(held, "scope", "score", "rec_id", evaluate.LIMIT), "scope").select("qid", "rec_id", "score")
     hits = cut(search.top_by(found.unionByName(pins).groupBy("qid", "rec_id").agg(F.max("score").alias("score")), "qid", "score", "rec_id", evaluate.LIMIT), "hits")
-    best = search.top_by(hits.where(F.startswith("qid", F.lit("free:"))), "qid", "score", "rec_id", 1).select(F.substring("qid", 6, 1 << 30).alias("id"), "rec_id").join(place.select("rec_id", "b", "p"), "rec_id").select("id", F.col("b").alias("top_b"), F.col("p").alias("top_p"))
+    best = search.top_by(hits.where(F.startswith("qid", F.lit("free:"))), "qid", "score", "rec_id", 1).select(F.substring("qid", 6, 1 << 30).alias("id"), "rec_id").join(spots.select("rec_id", "b", "p"), "rec_id").select("id", F.col("b").alias("top_b"), F.col("p").alias("top_p"))
     inside = F.when(F.col("section") != "", F.col("top_p") == F.col("section")).otherwise(F.col("top_b") == F.col("book"))
     chosen = flat.join(best, "id", "left").select("id", F.when(doubt & F.col("top_b").isNotNull() & ~F.coalesce(inside, F.lit(False)), "free:").otherwise("kept:").alias("way"))
     return chosen.select(F.concat("way", "id").alias("qid"), "id").join(hits, "qid").select(F.col("id").alias("qid"), "rec_id", "score")

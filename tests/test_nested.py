@@ -123,3 +123,20 @@ def test_empty_table_and_long_text(spark):
     assert nested.spoken(empty, "raw_id", "text").count() == 0
     long = json.dumps({"versions": [{"text": [[["a" * 2_000_000]] * 3]}]})
     assert nested.spoken(spark.createDataFrame([(1, long), (2, "[" * 100_000)], "raw_id bigint, text string"), "raw_id", "text").count() == 3
+
+
+def test_records_wrapped_any_number_of_times(spark):
+    text = json.dumps({"versions": [{"text": [[["a"]]]}]})
+    for _ in range(7):
+        text = json.dumps(text)
+    wrapped = json.dumps({"data": json.dumps(json.dumps({"versions": [{"text": [[["b"]]]}]}))})
+    df = spark.createDataFrame([(1, text), (2, wrapped)], "raw_id bigint, text string")
+    assert sorted(r.raw_id for r in nested.spoken(df, "raw_id", "text").collect()) == [1, 2]
+
+
+def test_damaged_records_are_set_apart(spark):
+    rows = [(1, None), (2, " "), (3, '{"versions": ['), (4, "<html>"), (5, "{}"), (6, '"no json"'), (7, "[1] 2"), (None, "{")]
+    tables = nested.flatten_records(spark.createDataFrame(rows, "raw_id bigint, text string"), "raw_id", "text", nested.RESPONSE)
+    got = {r.raw_id: r.problem for r in tables[""].collect()}
+    assert set(got) == {1, 2, 3, 4, 6, 7, None} and got[1] == got[2] == "empty" and got[3] == "ends early" and "behind its end" in got[7]
+    assert all(t.count() == 0 for name, t in tables.items() if name)
