@@ -102,3 +102,15 @@ KNOWN_FOLIOS = (
 )
 # What a numeral token means; null if it is none.
 KNOWN_NUMERALS = (("א", 1), ("טו", 15), ("טז", 16), ("קכג", 123), ("תתק", 900), ("ך", 20), ("י\"ב", 12), ("ג'", 3), ("77", 77), ("אב", None), ("אי", None), ("תתקא", None), ("x", None), ("", None))
+# HTML, its text, and its text without footnotes; only the named entities of XML, nbsp, middot and copy are resolved.
+KNOWN_HTML = (
+    ("<b>אב</b> גד", "אב גד", "אב גד"),
+    ('a<sup class="footnote-marker">1</sup><i class="footnote">see <b>b</b></i> c', "a1see b c", "a c"),
+    ("&lt;x&gt; &amp;amp; &quot;q&quot;", '<x> &amp; "q"', '<x> &amp; "q"'),
+    (" a&nbsp;b\u2009c\u200b ", "a b c", "a b c"),
+    ("a\u00a0&middot;\u00a0&copy;", "a · ©", "a · ©"),
+    ("<i>x</i> < y", "x < y", "x < y"),
+    ("", "", ""),
+)
+# Seeds, and what the generator draws first: (seed, (seed * 1103515245 + 12345) mod 2^31 of 2^31 - 1).
+KNOWN_DRAWS = ((1, 0.513870078), (0, 0.000005749), (2, 0.027734408))

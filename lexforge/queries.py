@@ -468,15 +468,6 @@ def browse_topk(spark: SparkSession, base: str) -> DataFrame:
     return search.search(table(spark, base, "rashi", "rec_id", "b", "p", "c", "v", "lk"), search.Query()).select("rec_id", "score")
 
 
-@query(f"""SELECT rec_id, round(CASE WHEN contains({X.normalize_sql('dh')}, 'כי') THEN 30.0 ELSE 1.0 END + {N.pop_boost_sql('lk')}, 6) AS score
-FROM rashi WHERE c = 1 AND v = 2""")
-def location_pin(spark: SparkSession, base: str) -> DataFrame:
-    """FLT5, JN5: rows at a pinned place stay when the keywords miss."""
-    df = table(spark, base, "rashi", "rec_id", "b", "p", "c", "v", "dh", "lk")
-    free = df.where(F.contains(X.normalize(F.col("dh")), F.lit("כי"))).select("rec_id", F.lit(30.0).alias("score"))
-    return search.search(df, search.Query(chapter=1, verse=2, words="כי"), free, limit=None).select("rec_id", "score")
-
-
 # ---- names (AGG8-AGG9, RES1-RES3, JN6-JN8, WIN7) ----
 
 ALIASED = f"""SELECT key, min(entity) AS entity, count(DISTINCT entity) > 1 AS ambiguous FROM (
@@ -561,6 +552,14 @@ def _asked(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "queries_partial", "id", "query").select(F.col("id").alias("qid"), F.explode(index.query_tokens(F.col("query"))).alias("qtoken")).distinct()
 
 
+@query(f"WITH posted AS MATERIALIZED ({POSTED}) SELECT (SELECT count(*) FROM rashi) AS records, (SELECT count(DISTINCT token) FROM posted) AS tokens, (SELECT CAST(sum(n) AS BIGINT) FROM posted) AS places, (SELECT count(*) FROM posted) AS postings")
+def build_index(spark: SparkSession, base: str) -> DataFrame:
+    """FTX1, PRJ7: the stored index, made if it isn't there yet, and what it holds."""
+    words = store.vocabulary(spark, base).agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("places"))
+    sizes = store.records(spark, base).agg(F.count(F.lit(1)).alias("records")), words, store.stored_postings(spark, base).agg(F.count(F.lit(1)).alias("postings"))
+    return reduce(lambda a, b: a.join(b, "one"), [x.withColumn("one", F.lit(1)) for x in sizes]).select("records", "tokens", "places", "postings")
+
+
 @query(POSTED)
 def postings(spark: SparkSession, base: str) -> DataFrame:
     """FTX1."""
@@ -609,6 +608,15 @@ def _hits(spark: SparkSession, base: str, options: tuple[index.SearchOptions, ..
     return blocks.search_all(_asked(spark, base), records, store.vocabulary(spark, base), "rec_id", options, evaluate.LIMIT, "pop")
 
 
+@query(f"""WITH posted AS MATERIALIZED ({POSTED}), asked AS (SELECT 'q' AS qid, 'ki' AS qtoken), found AS MATERIALIZED ({FOUND}), covered AS ({COVERED}), scored AS MATERIALIZED ({scored_sql()})
+SELECT r.rec_id, coalesce(s.score, round(1.0 + {N.pop_boost_sql('lk')}, 6)) AS score FROM rashi r LEFT JOIN scored s USING (rec_id) WHERE c = 1 AND v = 2""")
+def location_pin(spark: SparkSession, base: str) -> DataFrame:
+    """FLT5, JN5: rows at a pinned place stay when the keywords miss; the others have their score from the index."""
+    asked = spark.createDataFrame([("q", "ki")], "qid string, qtoken string")
+    free = index.batch_search(asked, store.stored_postings(spark, base), "rec_id", vocabulary=store.vocabulary(spark, base))
+    return search.search(store.records(spark, base), search.Query(chapter=1, verse=2, words="ki"), free, limit=None).select("rec_id", "score")
+
+
 @query(RANKED + " SELECT qid, rec_id, score FROM hits")
 def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
     """FTX5, FTX6, SRT1: every stored query against lemma, body and verse, boosted by popularity, the best 60 each."""
@@ -805,6 +813,19 @@ def numerals_known(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([r[:1] for r in known.KNOWN_NUMERALS], "token string").select("token", N.parse_numeral(F.col("token")).alias("value"))
 
 
+@query(_values_sql(known.KNOWN_HTML, "html", "plain", "bare"))
+def clean_known(spark: SparkSession, base: str) -> DataFrame:
+    """STR1, STR2: markup, entities and footnotes."""
+    df = spark.createDataFrame([r[:1] for r in known.KNOWN_HTML], "html string")
+    return df.select("html", X.clean(F.col("html")).alias("plain"), X.clean(F.col("html"), footnotes=True).alias("bare"))
+
+
+@query(_values_sql(known.KNOWN_DRAWS, "seed", "draw").replace("SELECT *", "SELECT seed, CAST(draw AS DOUBLE) AS draw"))
+def draws_known(spark: SparkSession, base: str) -> DataFrame:
+    """NUM4: the first number of a seed."""
+    return spark.createDataFrame([(s, round(N.FloatLcg(s).draw(), 9)) for s, _ in known.KNOWN_DRAWS], "seed int, draw double")
+
+
 @query(f"SELECT rec_id, translate({X.normalize_sql('dh')}, '{''.join(BRAILLE)}', '{''.join(BRAILLE.values())}') AS cells FROM rashi")
 def translit_letters(spark: SparkSession, base: str) -> DataFrame:
     """TRN8: letter mode of unpointed text."""
