@@ -64,7 +64,8 @@ def test_blocks_lose_nothing(seed, monkeypatch):
     asked = [(q, t) for q in range(15) for t in dice.sample(qtoks, dice.choice((1, 2, 2, 3)))] + [(15, "strange")]
     scopes = {q: dice.choice((None, None, "r", "none such")) for q in range(16)}
     options = (index.SearchOptions(), index.SearchOptions(coverage=0.0, refine_latin=75.0))
-    block = blocks.query_block(asked, matches, ("color",), [(scopes[q],) for q in range(16)])
+    table = pa.table(dict(zip(("qtoken", "token", "tier", "refine"), zip(*matches))))
+    block = blocks.query_block(np.array([q for q, _ in asked]), [t for _, t in asked], table, ("color",), [(scopes[q],) for q in range(16)])
     scan = blocks.Scan(block, ("dh", "t", "vt"), options, 10)
     for at in range(0, 300, 64):
         part = records[at : at + 64]
@@ -86,7 +87,8 @@ def test_query_blocks_cover_all_queries(spark, monkeypatch):
     vocab = spark.createDataFrame([(w,) for w in words], "token string").withColumn("fkey", index.fold(F.col("token")))
     asked = spark.createDataFrame([(f"q{i}", w) for i in range(20) for w in (("av", "gad"), ("davar",), ("melech", "av"))[i % 3]], "qid string, qtoken string")
     one = {tuple(r) for r in blocks.search_all(asked, recs, vocab, "rec_id", limit=5, boost="pop").collect()}
-    monkeypatch.setattr(blocks, "MOST_TOKENS", 1)
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 9)
+    monkeypatch.setattr(blocks, "MOST_TOKENS", 2)
     assert one and {tuple(r) for r in blocks.search_all(asked, recs, vocab, "rec_id", limit=5, boost="pop").collect()} == one
     assert blocks.search_all(asked.limit(0), recs, vocab, "rec_id").count() == 0
     assert blocks.search_all(asked, recs.limit(0), vocab, "rec_id").count() == 0
