@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 DIGRAPHS = {"װ": "וו", "ױ": "וי", "ײ": "יי"}
 
 # Look-alikes as (Latin, Cyrillic, Greek); "-" where a script has none. Of two
-# rows with one letter the later counts. They go before those that the rule below finds.
+# rows with one letter the later counts. They go before CONFUSABLE.
 LOOKALIKES = """
 w ѡ ω|n - η|l ӏ -
 A А Α|B В Β|C С -|E Е Ε|H Н Η|I І Ι|J Ј -|K К Κ|M М Μ|N - Ν|O О Ο|P Р Ρ|S Ѕ -|T Т Τ|X Х Χ|Y У Υ|Z - Ζ
@@ -64,6 +64,13 @@ SCRIPTS = {
     "Cherokee": tuple(range(0x13A0, 0x13F6)),
 }
 
+# The letters of SCRIPTS that Unicode's confusables data (16.0, as ICU 77.1 has it) finds
+# confusable with the same single letter, marks aside; capitals and others apart, all groups of two scripts or more.
+CONFUSABLE = """
+AΑАᎪ BΒВᏴ CϹСҪᏟ DᎠ EΕЕᎬ FϜ GԌᏀᏳ HΗНҢӇӉᎻ IΙІӀ JͿЈᎫ KΚКҚҞᏦ LᏞ MΜϺМӍᎷ NΝ OΘΟϴОѲӨՕᎾᏫ PΡРᏢ RᎡᏒ SЅՏᏕᏚ TΤТҬᎢ UՍᏌ VѴᏙ WԜᎳᏔ XΧХҲ YΥϒУҮҰᎩᎽ ZΖᏃ ͰᎨᎰ ͶИҊ ΓГҒᎱ ΛЛӅ ΠП ΦФՓ ΨѰ БЬѢҌᏏ ѠѼᏇ ԐᏋ
+aαа bѣҍ cϲсҫ dԁ eеҽҿ fք gց hћһհ iͺιіӏ jϳј nηոռ oοσоѳөօ pρϱр qԛգզ rгғ sѕ uυս vνѵ wѡѽԝա xх yγуүұ ͷи δծ εϵєԑ κϰкқҟ πϖп τтҭ φϕф ψѱ
+"""
+
 #: Code points up to here are looked at; beyond lie no compatibility forms of letters.
 LAST = 0x1FBFF
 
@@ -105,32 +112,20 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _same_look(spark: SparkSession) -> dict[str, str]:
-    """Each single letter of SCRIPTS and the letter it is confusable with, by the Unicode data of ICU (part of Spark); {} where the JVM is out of reach."""
-    letters = [chr(c) for points in SCRIPTS.values() for c in points if unicodedata.category(chr(c))[0] == "L" and unicodedata.normalize("NFD", chr(c)) == chr(c)]
-    try:
-        found = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
-    except Exception:
-        return {}
-    plain = ["".join(x for x in f if not unicodedata.combining(x)) for f in found]
-    return {a: b for a, b in zip(letters, plain) if len(b) == 1} if len(found) == len(letters) else {}
-
-
-def lookalikes(spark: SparkSession) -> dict[str, tuple[str, str]]:
+def lookalikes(spark: SparkSession | None = None) -> dict[str, tuple[str, str]]:
     """For each script the letters of other scripts that look like one of its own, and those own letters.
 
-    Two letters look alike if ICU finds them confusable with the same letter and both
-    are capitals, or neither; of several the one with the lowest code point counts.
+    Two letters look alike if they are in one group of CONFUSABLE; of several the one
+    with the lowest code point counts. They are the same in every session; ``spark`` isn't read.
     """
     rows = [x.split() for line in LOOKALIKES.split("\n") for x in line.split("|") if x]
-    same = _same_look(spark)
     script = {chr(c): name for name, points in SCRIPTS.items() for c in points}
     out = {}
     for at, name in enumerate(SCRIPTS):
-        own: dict[tuple[str, bool], str] = {}
-        for x in sorted((x for x in same if script[x] == name), reverse=True):
-            own[same[x], x.isupper()] = x
-        found = {x: own[same[x], x.isupper()] for x in same if script[x] != name and (same[x], x.isupper()) in own}
+        found: dict[str, str] = {}
+        for group in CONFUSABLE.split():
+            if own := [x for x in group if script[x] == name]:
+                found |= {x: min(own) for x in group if script[x] != name}
         if at < 3:
             found |= {x: row[at] for row in rows if row[at] != "-" for k, x in enumerate(row) if k != at and x != "-"}
         out[name] = "".join(found), "".join(found.values())
@@ -202,7 +197,7 @@ def plain_spelling(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     kind, named, values = _stacked(df, key, fields)
     sql = f"SELECT k, field, value, plain, plain <> value AS changed FROM {plain_sql(values, 'k, field')}"
-    alike = lookalikes(df.sparkSession)
+    alike = lookalikes()
     return named.mapInArrow(lambda it: duck(it, sql, alike), f"k {kind}, field string, value string, plain string, changed boolean").withColumnRenamed("k", key)
 
 
@@ -217,5 +212,5 @@ def not_plain(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(``key``, field) of the values that aren't in plain spelling; see plain_spelling."""
     kind, named, values = _stacked(df, key, fields)
     sql = f"SELECT k, field FROM {plain_sql(values, 'k, field')} WHERE plain <> value"
-    alike = lookalikes(df.sparkSession)
+    alike = lookalikes()
     return named.mapInArrow(lambda it: duck(it, sql, alike), f"k {kind}, field string").withColumnRenamed("k", key)

@@ -50,7 +50,7 @@ def record_terms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns], names=["uid", *b.schema.names])
             at += b.num_rows
 
-    alike = lookalikes(df.sparkSession)
+    alike = lookalikes()
     return named.mapInArrow(lambda it: duck(numbered(it), sql, alike), f"uid bigint, key {kind}, n bigint, terms array<string>, counts array<bigint>")
 
 
@@ -69,7 +69,7 @@ def term_frequency(df: DataFrame, fields: list[str], rare_records: int = 1, comm
     values = "(" + " UNION ALL ".join(f"SELECT '{i}' AS field, f{i} AS value FROM batch WHERE f{i} IS NOT NULL" for i in range(len(fields))) + ")"
     sql = f"SELECT field, map_keys(counts) AS terms, CAST(map_values(counts) AS BIGINT[]) AS counts FROM ({_terms_sql(values, 'field')}) WHERE counts IS NOT NULL"
     rows = df.select(F.count(F.lit(1)).alias("rows")).first()[0]
-    alike = lookalikes(df.sparkSession)
+    alike = lookalikes()
     counted = (
         named.mapInArrow(lambda it: duck(it, sql, alike), "field string, terms array<string>, counts array<bigint>")
         .select("field", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
