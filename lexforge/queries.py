@@ -602,10 +602,9 @@ def hits_sql(scored: str) -> str:
 RANKED = f"{MATCHED}, hits AS MATERIALIZED ({hits_sql(scored_sql())})"
 
 
-def _hits(spark: SparkSession, base: str, options: tuple[index.SearchOptions, ...] = (index.SearchOptions(),)) -> DataFrame:
-    """(option, qid, rec_id, score): the best 60 of every stored query, from one scan of the stored index. Stored queries belong to no week, so popularity is their only boost."""
-    records = store.token_lists(store.records(spark, base).withColumn("pop", N.pop_boost(F.col("lk"))), "rec_id", "pop")
-    return blocks.search_all(_asked(spark, base), records, store.vocabulary(spark, base), "rec_id", options, evaluate.LIMIT, "pop")
+def _hits(spark: SparkSession, base: str, options: tuple[index.SearchOptions, ...] = (index.SearchOptions(),)) -> tuple[DataFrame, DataFrame]:
+    """((option, q, rec_id, score), (qid, q)): the best 60 of every stored query, from one scan of the stored index. Stored queries belong to no week, so popularity is their only boost."""
+    return blocks.search_sets(_asked(spark, base), store.lists(spark, base), store.vocabulary(spark, base), "rec_id", options, evaluate.LIMIT, "pop")
 
 
 @query(f"""WITH posted AS MATERIALIZED ({POSTED}), asked AS (SELECT 'q' AS qid, 'ki' AS qtoken), found AS MATERIALIZED ({FOUND}), covered AS ({COVERED}), scored AS MATERIALIZED ({scored_sql()})
@@ -620,7 +619,8 @@ def location_pin(spark: SparkSession, base: str) -> DataFrame:
 @query(RANKED + " SELECT qid, rec_id, score FROM hits")
 def coverage_score_topk(spark: SparkSession, base: str) -> DataFrame:
     """FTX5, FTX6, SRT1: every stored query against lemma, body and verse, boosted by popularity, the best 60 each."""
-    return _hits(spark, base).select("qid", "rec_id", "score")
+    hits, names = _hits(spark, base)
+    return hits.join(names, "q").select("qid", "rec_id", "score")
 
 
 # ---- evaluation (AGG4-AGG7, AGG12, WIN1, JN9, SRT3, EVL3-EVL6) ----
@@ -647,7 +647,7 @@ def gold_join(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, base: str) -> DataFrame:
-    return evaluate.target_ranks(_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords")))
+    return evaluate.set_ranks(*_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords")))
 
 
 @query(f"{RANKED} SELECT qid, rank, tie FROM ({RESULTS})")
@@ -687,9 +687,9 @@ def swept_sql(i: int) -> str:
 def _swept(spark: SparkSession, base: str) -> DataFrame:
     """(option, qid, rank, tie, ...): the results of every stored query under each distinct configuration, from one scan of the index."""
     distinct = list(dict.fromkeys(SWEEP))
-    hits = _hits(spark, base, tuple(index.SearchOptions(coverage=c, refine_latin=r) for c, r in distinct))
+    hits, names = _hits(spark, base, tuple(index.SearchOptions(coverage=c, refine_latin=r) for c, r in distinct))
     gold = _gold(spark, base).withColumn("option", F.explode(F.array(*[F.lit(i) for i in range(len(distinct))])))
-    return evaluate.target_ranks(hits, gold, "rec_id", "option")
+    return evaluate.set_ranks(hits, names, gold, "rec_id", "option")
 
 
 def _configured(results: DataFrame) -> DataFrame:
@@ -977,10 +977,9 @@ def pipeline_hits(spark: SparkSession, base: str) -> DataFrame:
     )
     tokens = both.select("qid", F.explode(F.array_distinct(F.split(F.lower("said"), " "))).alias("qtoken")).where("qtoken <> ''")
     scopes = both.select("qid", *[F.nullif(F.col(a), F.lit(x)).alias(c) for a, c, x in (("book", "b", ""), ("section", "p", ""), ("chapter", "c", 0), ("verse", "v", 0))])
-    pop = F.round(1.0 + N.pop_boost(F.col("lk")), 6)
-    records = store.records(spark, base)
-    lists = store.token_lists(records.withColumn("pop", N.pop_boost(F.col("lk"))), "rec_id", "pop", "b", "p", "c", "v")
-    found = blocks.search_all(tokens, lists, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", scopes, ("b", "p", "c", "v")).select("qid", "rec_id", "score")
+    pop = F.round(1.0 + F.col("pop"), 6)
+    records = store.lists(spark, base)
+    found = blocks.search_all(tokens, records, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", scopes, ("b", "p", "c", "v")).select("qid", "rec_id", "score")
     spots = records.select("rec_id", "b", "p", "c", "v", pop.alias("score"))
     wanted = both.join(scopes, "qid").select("qid", "said", "b", "p", "c", "v")
     # One row for each distinct filter; a pin is a filter whose records stay although the words miss.
