@@ -960,39 +960,47 @@ def parsed_queries(spark: SparkSession, base: str) -> DataFrame:
 # ---- the whole pipeline for a query set (EVL3) ----
 
 
-def pipeline_hits(spark: SparkSession, base: str) -> DataFrame:
-    """(qid, rec_id, score): what the query box returns for every stored query, the best 60 each.
+def pipeline_hits(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """((q, rec_id, score), (qid, q)): what the query box returns for every stored query, the best 60 each.
 
     Parser, hypothesis check and search as for one query, in one batch: each query is
     searched as parsed, within its filters, and, where its filter is in doubt, also as
-    free text; the filter stays if the best free record lies within it. Queries that are
-    all filter browse it by popularity, once for each distinct filter. A chapter and
-    verse keep the records there at 1 at least.
+    free text; the filter stays if the best free record lies within it. Searches of the
+    same tokens and filters are one, under one number. Queries that are all filter browse
+    it by popularity, once for each distinct filter. A chapter and verse keep the records
+    there at 1 at least.
     """
     asked = table(spark, base, "queries_partial", "id", "query").distinct().select(F.col("id").alias("id"), "query")
     flat = cut(parse.parse_all(asked, "query", names_of(spark, base)).select("id", "parsed.*"), "parsed")
     doubt = (F.col("soft") != "") & (F.col("chapter") == 0) & (F.col("verse") == 0) & ((F.col("words") != "") | F.col("soft_fuzzy"))
-    both = flat.select(F.concat(F.lit("kept:"), "id").alias("qid"), F.col("words").alias("said"), "book", "section", "chapter", "verse").unionByName(
-        flat.where(doubt).select(F.concat(F.lit("free:"), "id").alias("qid"), F.concat_ws(" ", "soft", "words").alias("said"), F.lit("").alias("book"), F.lit("").alias("section"), F.lit(0).alias("chapter"), F.lit(0).alias("verse"))
+    scope = [F.nullif(F.col(a), F.lit(x)).alias(c) for a, c, x in (("book", "b", ""), ("section", "p", ""), ("chapter", "c", 0), ("verse", "v", 0))]
+    both = flat.select("id", F.lit("kept").alias("way"), F.col("words").alias("said"), *scope).unionByName(
+        flat.where(doubt).select("id", F.lit("free").alias("way"), F.concat_ws(" ", "soft", "words").alias("said"), *[F.lit(None).cast(t).alias(c) for c, t in (("b", "string"), ("p", "string"), ("c", "int"), ("v", "int"))])
     )
-    tokens = both.select("qid", F.explode(F.array_distinct(F.split(F.lower("said"), " "))).alias("qtoken")).where("qtoken <> ''")
-    scopes = both.select("qid", *[F.nullif(F.col(a), F.lit(x)).alias(c) for a, c, x in (("book", "b", ""), ("section", "p", ""), ("chapter", "c", 0), ("verse", "v", 0))])
-    pop = F.round(1.0 + F.col("pop"), 6)
+    words = F.filter(F.split(F.lower("said"), " "), lambda t: t != "")
+    each = both.groupBy("id", "way").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("ts"), F.min(F.struct("b", "p", "c", "v")).alias("x")).select("id", "way", "ts", "x.*")
+    each, same = cut(each, "ways"), ("ts", "b", "p", "c", "v")
+    kinds = cut(each.select(*same).distinct().withColumn("q", F.monotonically_increasing_id()), "searches")
+    named = kinds.select("q", *[F.col(c).alias(f"_{c}") for c in same])
+    owners = each.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same])).groupBy("id").agg(*[F.max(F.when(F.col("way") == w, F.col("q"))).alias(w) for w in ("kept", "free")])
+    owners = cut(owners, "owners")
     records = store.lists(spark, base)
-    found = blocks.search_all(tokens, records, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", scopes, ("b", "p", "c", "v")).select("qid", "rec_id", "score")
-    spots = records.select("rec_id", "b", "p", "c", "v", pop.alias("score"))
-    wanted = both.join(scopes, "qid").select("qid", "said", "b", "p", "c", "v")
+    found = blocks.search_all(kinds.select(F.col("q").alias("qid"), F.explode("ts").alias("qtoken")), records, store.vocabulary(spark, base), "rec_id", (index.SearchOptions(),), evaluate.LIMIT, "pop", kinds.withColumnRenamed("q", "qid"), ("b", "p", "c", "v"))
+    found = cut(found.select(F.col("qid").alias("q"), "rec_id", "score"), "found")
+    spots = records.select("rec_id", "b", "p", "c", "v", F.round(1.0 + F.col("pop"), 6).alias("score"))
     # One row for each distinct filter; a pin is a filter whose records stay although the words miss.
-    browsed = wanted.where("said = '' or (c is not null and v is not null)")
-    kinds = browsed.select("b", "p", "c", "v").distinct().withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"]))
-    same = [(F.col(f"k.{x}").isNull()) | (F.col(f"k.{x}") == F.col(f"r.{x}")) for x in "pcv"]
-    held = spots.alias("r").join(kinds.alias("k"), (F.col("k.b") == F.col("r.b")) & same[0] & same[1] & same[2]).select("scope", "rec_id", "score")
-    pins = browsed.withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"])).select("qid", "scope").join(search.top_by(held, "scope", "score", "rec_id", evaluate.LIMIT), "scope").select("qid", "rec_id", "score")
-    hits = cut(search.top_by(found.unionByName(pins).groupBy("qid", "rec_id").agg(F.max("score").alias("score")), "qid", "score", "rec_id", evaluate.LIMIT), "hits")
-    best = search.top_by(hits.where(F.startswith("qid", F.lit("free:"))), "qid", "score", "rec_id", 1).select(F.substring("qid", 6, 1 << 30).alias("id"), "rec_id").join(spots.select("rec_id", "b", "p"), "rec_id").select("id", F.col("b").alias("top_b"), F.col("p").alias("top_p"))
+    browsed = kinds.where("size(ts) = 0 or (c is not null and v is not null)").withColumn("scope", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in "bpcv"]))
+    filters = browsed.select("b", "p", "c", "v", "scope").distinct()
+    hold = [(F.col(f"k.{x}").isNull()) | (F.col(f"k.{x}") == F.col(f"r.{x}")) for x in "pcv"]
+    held = spots.alias("r").join(filters.alias("k"), (F.col("k.b") == F.col("r.b")) & hold[0] & hold[1] & hold[2]).select("scope", "rec_id", "score")
+    pins = browsed.select("q", "scope").join(search.top_by(held, "scope", "score", "rec_id", evaluate.LIMIT), "scope").select("q", "rec_id", "score")
+    merged = found.join(browsed.select("q"), "q", "left_semi").unionByName(pins).groupBy("q", "rec_id").agg(F.max("score").alias("score"))
+    hits = found.join(browsed.select("q"), "q", "left_anti").unionByName(search.top_by(merged, "q", "score", "rec_id", evaluate.LIMIT))
+    best = found.join(owners.select(F.col("free").alias("q")).where("q is not null").distinct(), "q", "left_semi").groupBy(F.col("q").alias("free")).agg(F.min(F.struct(-F.col("score"), "rec_id"))["rec_id"].alias("rec_id"))
+    best = best.join(spots.select("rec_id", F.col("b").alias("top_b"), F.col("p").alias("top_p")), "rec_id").drop("rec_id")
     inside = F.when(F.col("section") != "", F.col("top_p") == F.col("section")).otherwise(F.col("top_b") == F.col("book"))
-    chosen = flat.join(best, "id", "left").select("id", F.when(doubt & F.col("top_b").isNotNull() & ~F.coalesce(inside, F.lit(False)), "free:").otherwise("kept:").alias("way"))
-    return chosen.select(F.concat("way", "id").alias("qid"), "id").join(hits, "qid").select(F.col("id").alias("qid"), "rec_id", "score")
+    chosen = flat.join(owners, "id").join(best, "free", "left").select(F.col("id").alias("qid"), F.when(doubt & F.col("top_b").isNotNull() & ~F.coalesce(inside, F.lit(False)), F.col("free")).otherwise(F.col("kept")).alias("q"))
+    return hits, chosen
 
 
 WAYS = f"""{PARSED_WITH}, parsed AS MATERIALIZED ({PARSED_ROWS}),
@@ -1010,10 +1018,10 @@ hits AS MATERIALIZED (SELECT * FROM (SELECT c.id AS qid, w.rec_id, w.score, row_
 @query(f"{WAYS} SELECT qid, rank, tie FROM ({RESULTS})")
 def pipeline_rank(spark: SparkSession, base: str) -> DataFrame:
     """EVL3, RES1, FTX6: the rank of every stored query's target in what the query box returns."""
-    return evaluate.target_ranks(pipeline_hits(spark, base), _gold(spark, base)).select("qid", "rank", "tie")
+    return evaluate.set_ranks(*pipeline_hits(spark, base), _gold(spark, base)).select("qid", "rank", "tie")
 
 
 @query(f"{WAYS}, results AS (SELECT *, {BUCKET} AS bucket FROM ({RESULTS})) SELECT style, variant, bucket, CAST(grouping(style, variant, bucket) AS BIGINT) AS gid, {METRICS} FROM results GROUP BY GROUPING SETS ((), (style), (variant), (bucket))")
 def pipeline_metrics(spark: SparkSession, base: str) -> DataFrame:
     """EVL3, EVL4: metrics of the whole pipeline."""
-    return evaluate.by_groups(evaluate.target_ranks(pipeline_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords"))), "style", "variant", "bucket")
+    return evaluate.by_groups(evaluate.set_ranks(*pipeline_hits(spark, base), _gold(spark, base)).withColumn("bucket", N.word_bucket(F.col("dhWords"))), "style", "variant", "bucket")
